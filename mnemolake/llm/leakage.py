@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import map_batches
 from .tokens import _quoted
 from .words import grams, text_segments, words
 
@@ -142,7 +143,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
                     run_out.append(run)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc_out, pa.int64())), pa.array(item_out, pa.int64() if item_type == "bigint" else None), pa.array(run_out, pa.int32())], [doc_id, item_id, "shared_words"])
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def _by_shuffle(docs: DataFrame, tests: DataFrame, doc_id: str, item_id: str, schema: str, span: int, k: int) -> DataFrame:
@@ -171,11 +172,11 @@ def _by_shuffle(docs: DataFrame, tests: DataFrame, doc_id: str, item_id: str, sc
             yield pa.RecordBatch.from_arrays([d, i, pa.array(runs, pa.int32())], [doc_id, item_id, "shared_words"])
 
     d_type, i_type = docs.dtypes[0][1], tests.dtypes[0][1]
-    left = docs.mapInArrow(prints, f"id {d_type}, print bigint, pos int").withColumnsRenamed({"id": "d", "pos": "dp"})
-    right = tests.mapInArrow(prints, f"id {i_type}, print bigint, pos int").withColumnsRenamed({"id": "i", "pos": "ip"})
+    left = map_batches(docs, prints, f"id {d_type}, print bigint, pos int").withColumnsRenamed({"id": "d", "pos": "dp"})
+    right = map_batches(tests, prints, f"id {i_type}, print bigint, pos int").withColumnsRenamed({"id": "i", "pos": "ip"})
     pairs = left.join(right, "print").select("d", "i", (F.col("dp") - F.col("ip")).alias("shift")).distinct()
-    dw = docs.mapInArrow(word_arrays, f"id {d_type}, words array<bigint>").withColumnsRenamed({"id": "d", "words": "dw"})
-    iw = tests.mapInArrow(word_arrays, f"id {i_type}, words array<bigint>").withColumnsRenamed({"id": "i", "words": "iw"})
-    hits = pairs.join(dw, "d").join(iw, "i").select("d", "i", "shift", "dw", "iw").mapInArrow(extend, schema)
+    dw = map_batches(docs, word_arrays, f"id {d_type}, words array<bigint>").withColumnsRenamed({"id": "d", "words": "dw"})
+    iw = map_batches(tests, word_arrays, f"id {i_type}, words array<bigint>").withColumnsRenamed({"id": "i", "words": "iw"})
+    hits = map_batches(pairs.join(dw, "d").join(iw, "i").select("d", "i", "shift", "dw", "iw"), extend, schema)
     a, b = (_quoted(c) for c in (doc_id, item_id))
     return hits.filter(F.col("shared_words") >= span).groupBy(F.col(a), F.col(b)).agg(F.max("shared_words").alias("shared_words"))

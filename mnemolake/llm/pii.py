@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import map_batches
 from .lexicon import COMMON_WORDS, GIVEN_NAMES, NICKNAMES, ORGANISATION_WORDS, TITLES
 from .tokens import _quoted
 
@@ -268,4 +269,4 @@ def redact_texts(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(ids))), pa.array(texts, pa.string()), lists], [*id_cols, "redacted", "spans"])
 
-    return df.select(*(F.col(_quoted(c)) for c in id_cols), F.col(_quoted(text_col)).cast("string")).mapInArrow(run, schema)
+    return map_batches(df.select(*(F.col(_quoted(c)) for c in id_cols), F.col(_quoted(text_col)).cast("string")), run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .conversations import assess_sessions, rebuild_conversations
 from .leakage import find_leaks
+from .names import link_names
 from .pii import redact_texts
 from .repetition import judge_repetition
 from .splitting import split_texts
@@ -26,6 +27,18 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.unionByName(c)
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every person or organisation row with the entity it belongs to."""
+    return link_names(_table(spark, sf_dir, "graph_nodes"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows that mean the same person or organisation."""
+    rows = p1_entities(spark, sf_dir)
+    a, b = rows.select(F.col("id").alias("id_a"), "entity"), rows.select(F.col("id").alias("id_b"), "entity")
+    return a.join(b, "entity").filter("id_a < id_b").select("id_a", "id_b")
+
+
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of messages and chunks with placeholders, and the spans they replace."""
     return redact_texts(_texts(spark, sf_dir), ["src", "row_id"], "text")
@@ -83,7 +96,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_redacted, p3_found, p3_pieces, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:

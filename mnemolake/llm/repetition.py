@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
+from ..workers import map_batches
 from .tokens import _quoted
 from .words import grams, lines, mix, text_segments, words
 
@@ -115,7 +116,7 @@ def measure_repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 m = measure(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(pa.array(m[n]) for n in names)], [id_col, *names])
 
-    return df.select(F.col(_quoted(id_col)), F.col(_quoted(text_col)).cast("string")).mapInArrow(run, schema)
+    return map_batches(df.select(F.col(_quoted(id_col)), F.col(_quoted(text_col)).cast("string")), run, schema)
 
 
 def with_votes(measured: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import map_batches
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Pre-tokens known to a worker; beyond it they are forgotten and encoded anew.
 KNOWN_LIMIT = 400_000
@@ -196,7 +198,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = vocab.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, "ids"])
 
-    return df.select(F.col(_quoted(id_col)), F.col(_quoted(text_col)).cast("string")).mapInArrow(run, schema)
+    return map_batches(df.select(F.col(_quoted(id_col)), F.col(_quoted(text_col)).cast("string")), run, schema)
 
 
 def _quoted(name: str) -> str:
