@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .conversations import assess_sessions, rebuild_conversations
 from .leakage import find_leaks
 from .names import link_names
+from .neighbours import nearest_vectors
 from .pii import redact_texts
 from .repetition import judge_repetition
 from .splitting import split_texts
@@ -59,6 +60,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).filter("piece = 2").select("src", "row_id")
 
 
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar chunks of every usable chunk under its model."""
+    return nearest_vectors(_table(spark, sf_dir, "chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of which one is among the 5 most similar of the other."""
+    return p4_neighbours(spark, sf_dir).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered utterances of the kept sessions."""
     return rebuild_conversations(_table(spark, sf_dir, "sessions"), _table(spark, sf_dir, "messages"))
@@ -96,7 +107,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_redacted, p3_found, p3_pieces, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
