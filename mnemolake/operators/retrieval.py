@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..config import Settings
 from ..functions.text import normalize_key
 from ..functions.vector import cosine_top
@@ -59,7 +60,8 @@ def vector_leg(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def graph_leg(queries: DataFrame, memory: Memory, hops: int) -> tuple[DataFrame, DataFrame]:
     """(query_id, name, weight) of reached names, and (query_id, chunk_id, weight)."""
     seeds = graph.seed_nodes(queries, memory.nodes)
-    weights = graph.name_weights(graph.expand(seeds, memory.edges, hops), memory.nodes)
+    # Read several times from here on: by the chunk scan, and by every leg that is nudged.
+    weights = checkpointed(graph.name_weights(graph.expand(seeds, memory.edges, hops), memory.nodes))
     return weights, graph.chunk_weights(weights, memory.chunks)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..config import Settings, Tier, profile_for
 from ..functions import guards, rules
 from ..functions.text import estimate_tokens, query_terms
@@ -60,7 +61,8 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def memory(spark: SparkSession, sf: str) -> retrieval.Memory:
-    return retrieval.Memory(table(spark, sf, "chunks"), versions(spark, sf), table(spark, sf, "graph_nodes"), table(spark, sf, "graph_edges"))
+    """The tables of retrieval; the versions are written once, since several legs read them."""
+    return retrieval.Memory(table(spark, sf, "chunks"), checkpointed(versions(spark, sf)), table(spark, sf, "graph_nodes"), table(spark, sf, "graph_edges"))
 
 
 def lesson_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,12 +346,12 @@ def explain_facts(spark, sf):
 def timeline_lookup(spark, sf):
     log = table(spark, sf, "fact_events").dropDuplicates(["id"]).filter(F.col("id") % EVERY == 0)
     asked = log.select(F.col("id").alias("query_id"), F.when(F.col("id") % 40 == 0, F.col("key")).otherwise(F.coalesce("value", F.lit(""))).alias("text"))
-    return retrieval.timeline(asked, versions(spark, sf), PLAIN)
+    return retrieval.timeline(asked, checkpointed(versions(spark, sf)), PLAIN)
 
 
 @query
 def facts_section(spark, sf):
-    v = versions(spark, sf)
+    v = checkpointed(versions(spark, sf))
     asked = session_queries(spark, sf)
     return assembly.facts_lines(asked, facts.current_facts(v), v, as_of(), PROFILE.budgets.facts, PLAIN)
 

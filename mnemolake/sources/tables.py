@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
         df = read_table(spark, root, name)
         df.limit(1).count()
         return df
-    except PySparkException:
+    except (PySparkException, Py4JError):
         jvm, path = spark._jvm, table_path(root, name)
         old = jvm.org.apache.hadoop.fs.Path(path)
         old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, jvm.org.apache.hadoop.fs.Path(f"{path}.corrupt-{int(time.time())}"))
