@@ -75,18 +75,27 @@ def _scan(sent, k: int):
             for g, at in names.groupby(names).groups.items():
                 if g not in sent.value:
                     continue
-                qids, q = sent.value[g]
-                for lo in range(0, len(qids), 256):
-                    s = q[lo : lo + 256] @ x[at].T
+                q, mine, own = sent.value[g][1], ids[at], x[at]
+                for lo in range(0, len(q), 256):
+                    s = np.round(q[lo : lo + 256] @ own.T, 12)
                     held = best.get((g, lo))
-                    cand = np.broadcast_to(ids[at], s.shape)
+                    # Only what reaches the k-th best of this batch and of what is held is sorted.
+                    bar = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), -2.0)
                     if held is not None:
-                        s, cand = np.concatenate([held[0], s], 1), np.concatenate([held[1], cand], 1)
-                    order = np.lexsort((-cand, -np.round(s, 12)), axis=1)[:, :k]
-                    best[g, lo] = np.take_along_axis(s, order, 1), np.take_along_axis(cand, order, 1)
-        for (g, lo), (s, cand) in best.items():
-            qids = sent.value[g][0][lo : lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, s.shape[1])), pa.array(cand.ravel()), pa.array(s.ravel())], ["query_id", "id", "cosine"])
+                        bar = np.maximum(bar, held[3])
+                    i, j = np.divmod(np.flatnonzero(s >= bar[:, None]), s.shape[1])
+                    row, cand, score = i, mine[j], s[i, j]
+                    if held is not None:
+                        row, cand, score = np.r_[held[0], row], np.r_[held[1], cand], np.r_[held[2], score]
+                    order = np.lexsort((-cand, -score, row))
+                    row, cand, score = row[order], cand[order], score[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    keep = place < k
+                    bar = np.full(len(s), -2.0)
+                    bar[row[place == k - 1]] = score[place == k - 1]
+                    best[g, lo] = row[keep], cand[keep], score[keep], bar
+        for (g, lo), (row, cand, score, _) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[g][0][lo + row]), pa.array(cand), pa.array(score)], ["query_id", "id", "cosine"])
 
     return run
 
