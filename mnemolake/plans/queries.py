@@ -121,7 +121,7 @@ def query_term_list(spark, sf):
 
 @query
 def postings_stats(spark, sf):
-    return bm25.term_stats(bm25.postings(table(spark, sf, "chunks"), "id", "text"))
+    return bm25.term_stats(table(spark, sf, "chunks"), "text")
 
 
 @query
