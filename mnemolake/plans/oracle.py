@@ -153,7 +153,7 @@ RETRIEVAL = f"{EVENTS}, {ASKED}, {QTERMS}, {CHUNK_BM25}, {FACT_BM25}, {VECTOR},
 
 def fit(source: str, keys: str, order: str, budget: int) -> str:
     """A SELECT of the fitted prefix with position and used."""
-    return f"SELECT * FROM (SELECT *, row_number() OVER w AS position, sum({tokens_of('line')}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {source} WINDOW w AS ({keys} ORDER BY {order})) WHERE used <= {budget}"
+    return f"SELECT * FROM (SELECT *, row_number() OVER w AS position, CAST(sum({tokens_of('line')}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM {source} WINDOW w AS ({keys} ORDER BY {order})) WHERE used <= {budget}"
 
 
 FACT_LINES = f"""fact_rows AS (SELECT q.query_id, v.id AS fact_id, '- ' || key || ': ' || value AS line, CASE WHEN category = 'profile' THEN 1 ELSE 0 END AS lead_, importance, valid_from,
@@ -209,7 +209,7 @@ SQL: dict[str, str] = {
     "session_rollup": f"""WITH {CLEAN}, stats AS (SELECT session_id, count(*) AS n, arg_min(content, id) FILTER (WHERE role = 'user') AS first_text FROM clean GROUP BY session_id)
         SELECT id, started_at, coalesce(ended_at, {AS_OF}) AS ended_at, coalesce(title, left(first_text, 80)) AS title, summary, coalesce(n, 0) AS message_count, ended_at IS NULL AS was_open FROM sessions LEFT JOIN stats ON stats.session_id = id""",
     "session_tail_budget": f"""WITH {CLEAN}, r AS (SELECT session_id, id, role, greatest(1, coalesce(token_estimate, {tokens_of('content')})) AS cost FROM clean WHERE role <> 'system'),
-        t AS (SELECT *, row_number() OVER w AS back, sum(cost) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM r WINDOW w AS (PARTITION BY session_id ORDER BY id DESC))
+        t AS (SELECT *, row_number() OVER w AS back, CAST(sum(cost) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM r WINDOW w AS (PARTITION BY session_id ORDER BY id DESC))
         SELECT session_id, id, role, back, used FROM t WHERE used <= 500 OR back = 1""",
     "chunk_packing": rf"""WITH RECURSIVE {PAIRS}, sents AS (SELECT session_id, turn, text, {tokens_of('text')} <= 400 AS fits, string_split(regexp_replace(text, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)) AS s FROM exch),
         fold AS (SELECT session_id, turn, s, 0 AS i, '' AS buf, []::VARCHAR[] AS out FROM sents WHERE NOT fits UNION ALL

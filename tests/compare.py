@@ -13,6 +13,10 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: With COMPARE_EXACT=1 floating-point values must be equal in every bit.
+EXACT = os.environ.get("COMPARE_EXACT") == "1"
+
+
 def plain(v):
     """A comparable form of a value of either engine."""
     if hasattr(v, "asDict"):
@@ -22,7 +26,7 @@ def plain(v):
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
+        return "nan" if math.isnan(v) else v + 0.0 if EXACT else float(f"{v:.9g}") + 0.0
     if hasattr(v, "to_integral_value"):
         return float(f"{float(v):.9g}")
     if type(v).__name__ == "datetime" and v.tzinfo is not None:
