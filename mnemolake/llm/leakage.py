@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workers import map_batches
 from .tokens import _quoted
@@ -129,6 +130,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
         return _by_shuffle(docs, tests, doc_id, item_id, schema, span_words, gram_words)
     rows = tests.collect()  # at most broadcast_bytes by the check above
     ids, texts = [r.item for r in rows], [r.text for r in rows]
+    item_arrow = to_arrow_type(items.schema[item_id].dataType)
     shared = documents.sparkSession.sparkContext.broadcast((ids, texts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
                     doc_out.append(first + row)
                     item_out.append(index.ids[item])
                     run_out.append(run)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc_out, pa.int64())), pa.array(item_out, pa.int64() if item_type == "bigint" else None), pa.array(run_out, pa.int32())], [doc_id, item_id, "shared_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc_out, pa.int64())), pa.array(item_out, item_arrow), pa.array(run_out, pa.int32())], [doc_id, item_id, "shared_words"])
 
     return map_batches(docs, scan, schema)
 

@@ -204,6 +204,9 @@ def test_leaks_equal_brute_force(spark, broadcast_bytes):
     i = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1.5))
     got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, i, broadcast_bytes=broadcast_bytes).collect()}
     assert got == brute_leaks(docs, items, 25) and len(got) > 10
+    named = i.withColumn("item_id", F.concat(F.lit("item "), F.col("item_id").cast("string")))
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, named, broadcast_bytes=broadcast_bytes).collect()} == {(a, f"item {b}") for a, b in got}
+    assert leakage.find_leaks(d.filter("doc_id = 1000"), named).count() == 0
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
