@@ -31,7 +31,7 @@ CELL_ROWS = 16_384
 #: The sample on which the splits are fitted, and the one on which distances are measured, per group.
 SPLIT_SAMPLE, DISTANCE_SAMPLE = 20_000, 64
 #: Probability of the chi-square stopping test, and share of the neighbours that visited cells should hold.
-STOP_PROBABILITY, VISIT_PROBABILITY = 0.97, 0.96
+STOP_PROBABILITY, VISIT_PROBABILITY = 0.985, 0.985
 _SEED = 20_240_601
 
 
@@ -180,7 +180,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str, group_col: str, dim: int
     return rows.withColumn("h1", F.xxhash64("grp", "vec")).withColumn("h2", F.xxhash64(F.lit("second"), "vec", "grp"))
 
 
-def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", group_col: str = "embedding_model", *, k: int = 5, dim: int = 64, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", group_col: str = "embedding_model", *, k: int = 5, dim: int = 64, cell_rows: int = CELL_ROWS, visit: float = VISIT_PROBABILITY, stop: float = STOP_PROBABILITY) -> DataFrame:
     """(id, neighbour, rank, similarity) of the k most similar rows of every usable row of its group.
 
     Only vectors of `dim` finite values, not all zero, with a group take part,
@@ -221,8 +221,8 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     for r in kth.groupBy("grp").agg(F.percentile(F.element_at("best", -1), 0.05).alias("sure"), F.percentile(F.element_at("best", -1), 0.4).alias("usual")).collect():
         scales[r["grp"]] = (math.sqrt(max(1e-6, 2 - 2 * r["usual"])), math.sqrt(max(1e-6, 2 - 2 * r["sure"])))
     scales = {g: v if isinstance(v, tuple) else (v, v) for g, v in scales.items()}
-    routed = map_batches(rows, _router(dim, trees, scales, k), "block bigint, own boolean, id bigint, h1 bigint, h2 bigint, grp string, x binary")
-    found = routed.groupBy("block").applyInArrow(_searcher(dim, trees, scales, k), schema)
+    routed = map_batches(rows, _router(dim, trees, scales, k, visit), "block bigint, own boolean, id bigint, h1 bigint, h2 bigint, grp string, x binary")
+    found = routed.groupBy("block").applyInArrow(_searcher(dim, trees, scales, k, stop), schema)
     best = found.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("best"))
     each = rows.select("id", "h1", "h2").join(best, ["h1", "h2"])
     ranked = each.select("id", F.posexplode(F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)).alias("at", "b"))
@@ -264,7 +264,7 @@ def _distance_scan(dim: int, probes: dict[str, np.ndarray], k: int):
     return run
 
 
-def _router(dim: int, trees: dict, scales: dict, k: int):
+def _router(dim: int, trees: dict, scales: dict, k: int, visit: float):
     """Rows for their own block, and again as visitors of others; of equal vectors the k + 1 smallest ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def _router(dim: int, trees: dict, scales: dict, k: int):
                 block.append(offset + home)
                 own.append(np.ones(len(mine), bool))
                 source.append(mine)
-                r, c = tree.visits(p, scales[g][0], VISIT_PROBABILITY)
+                r, c = tree.visits(p, scales[g][0], visit)
                 n = tree.blocks[c]
                 r, first = np.repeat(r, n), np.repeat(tree.first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 away = first != home[r]
@@ -315,7 +315,7 @@ def _router(dim: int, trees: dict, scales: dict, k: int):
     return run
 
 
-def _searcher(dim: int, trees: dict, scales: dict, k: int):
+def _searcher(dim: int, trees: dict, scales: dict, k: int, stop_probability: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         m, _, _ = trees[table.column("grp")[0].as_py()]
@@ -332,7 +332,7 @@ def _searcher(dim: int, trees: dict, scales: dict, k: int):
         if not len(home):
             return _found([], [], [])
         p = unit.astype(np.float32) @ directions(dim, m)
-        stop = chi_square_quantile(STOP_PROBABILITY, m)
+        stop = chi_square_quantile(stop_probability, m)
         q, x, s = search_block(unit[home], unit, p[home], p, k + 1, (stop * usual**2, stop * sure**2), stop, at_home)
         # ids of every home class, the k + 1 smallest, each as a candidate of the query
         mine = own[order]

@@ -119,7 +119,7 @@ _PHONE = re.compile(
 _HOUSE = r"\d{1,5}[A-Za-z]?"
 _LETTER = r"[^\W\d_]"
 _STREET_TYPES = r"(?:street|st|avenue|ave|road|rd|lane|ln|close|boulevard|blvd|square|sq|drive|court|ct|place|terrace|crescent|highway|hwy|parkway|quay)"
-_PLACE_TAIL = rf"(?:, (?:(?:apt|flat|unit|suite)\.? \w{{1,5}}|\d{{4,6}} {_LETTER}{{3,}}|{_LETTER}{{3,}}(?: \d{{4,6}})?))?"
+_PLACE_TAIL = rf"(?:, (?:(?:apt|flat|unit|suite)\.? \w{{1,5}}|\d{{4,6}} {_LETTER}{{3,}}|{_LETTER}{{3,}}(?: \d{{4,6}})?)|\n{_LETTER}{{3,}} \d{{4,6}}(?!\w))?"
 _STREET = re.compile(
     rf"(?<![\w.\-/])(?:(?:flat|apt|unit) \w{{1,5}}, )?{_HOUSE},? (?:(?:upper|lower|old|new|north|south|east|west|great|little|saint|st\.?) )?({_LETTER}[\w'’\-]{{2,}}) {_STREET_TYPES}\b\.?{_PLACE_TAIL}"
     rf"|(?<![\w.\-/])({_LETTER}[\w'’\-]{{2,}}) {_STREET_TYPES}\b\.? {_HOUSE}(?![\w\-.]\d){_PLACE_TAIL}",
