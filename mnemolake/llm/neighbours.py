@@ -199,21 +199,26 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     if not sizes:
         return spark.createDataFrame([], "id bigint, neighbour bigint, rank int, similarity double")
     trees, scales, offset = {}, {}, 0
-    pick = F.lit(False)
+    pick, probe = F.lit(False), F.lit(False)
     for g, n in sizes.items():
-        pick = pick | ((F.col("grp") == g) & (F.pmod(F.xxhash64("id"), F.lit(max(1, n // SPLIT_SAMPLE))) == 0))
-    held = rows.filter(pick).select("grp", "vec").mapInArrow(_sampler(dim, SPLIT_SAMPLE * 2), "grp string, x binary").collect()
-    samples: dict[str, list] = {g: [] for g in sizes}
-    for r in held:  # at most about 2 * SPLIT_SAMPLE vectors a group
-        samples[r["grp"]].append(np.frombuffer(r["x"], np.float32).reshape(-1, dim))
+        step = max(1, n // SPLIT_SAMPLE)
+        own = F.col("grp") == g
+        pick = pick | (own & (F.pmod(F.xxhash64("id"), F.lit(step)) == 0))
+        probe = probe | (own & (F.pmod(F.xxhash64(F.lit("probe"), "id"), F.lit(max(1, n // step // (4 * DISTANCE_SAMPLE)))) == 0))
+    ms = {g: projections_needed(n) for g, n in sizes.items()}
+    held = rows.filter(pick).select("grp", "vec", probe.alias("probe")).mapInArrow(_sampler(dim, ms), "grp string, p binary, x binary").collect()
+    sampled, near = {g: [] for g in sizes}, {g: [] for g in sizes}
+    for r in held:  # at most about 2 * SPLIT_SAMPLE projections and 8 * DISTANCE_SAMPLE vectors a group
+        sampled[r["grp"]].append(r["p"])
+        if r["x"] is not None:
+            near[r["grp"]].append(r["x"])
     rng = np.random.default_rng(_SEED)
     probes = {}
     for g, n in sizes.items():
-        s = np.concatenate(samples[g]) if samples[g] else np.zeros((0, dim), np.float32)
-        m = projections_needed(n)
-        trees[g] = (m, CellTree(s @ directions(dim, m), n, cell_rows), offset)
+        trees[g] = (ms[g], CellTree(np.frombuffer(b"".join(sampled[g]), np.float32).reshape(-1, ms[g]), n, cell_rows), offset)
         offset += int(trees[g][1].first[-1])
-        probes[g] = s[rng.permutation(len(s))[:DISTANCE_SAMPLE]] if len(s) else s
+        x = np.frombuffer(b"".join(near[g]), np.float32).reshape(-1, dim)
+        probes[g] = x[rng.permutation(len(x))[:DISTANCE_SAMPLE]]
     measured = rows.select("grp", "vec").mapInArrow(_distance_scan(dim, probes, k), "grp string, probe int, best array<double>")
     kth = measured.groupBy("grp", "probe").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k + 1).alias("best"))
     for g in sizes:
@@ -229,11 +234,16 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     return ranked.select("id", F.col("b.id").alias("neighbour"), (F.col("at") + 1).alias("rank"), (-F.col("b.s")).alias("similarity"))
 
 
-def _sampler(dim: int, most: int):
+def _sampler(dim: int, ms: dict[str, int]):
+    """Projections of the sampled rows, and the unit vectors of those marked as probes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit_rows(batch.column(1), dim).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["grp", "x"])
+            names, marked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            planes = {g: directions(dim, ms[g]) for g in set(names)}
+            p = [(v @ planes[g]).tobytes() for v, g in zip(x, names)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.binary()), pa.array([v.tobytes() if m else None for v, m in zip(x, marked)], pa.binary())], ["grp", "p", "x"])
 
     return run
 
