@@ -7,6 +7,7 @@ that bound, and not the number of facts, sizes every window here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +30,17 @@ SECTIONS = (
 )
 FACT_FLOOR = 0.3
 
+Tokens = Callable[[Column], Column]
 
-def fit_lines(lines: DataFrame, keys: list[str], order: list[Column], budget: int, line: str = "line") -> DataFrame:
-    """The prefix of each key's lines whose tokens fit the budget, with `position` and running `used`."""
+
+def fit_lines(lines: DataFrame, keys: list[str], order: list[Column], budget: int, line: str = "line", *, tokens: Tokens = estimate_tokens) -> DataFrame:
+    """The prefix of each key's lines whose tokens fit the budget, with `position` and running `used`.
+
+    `tokens` counts the tokens of a text column, at least 1 for any text.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     numbered = lines.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= budget + 1)
-    return numbered.withColumn("used", F.sum(estimate_tokens(F.col(line))).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= budget)
+    return numbered.withColumn("used", F.sum(tokens(F.col(line))).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= budget)
 
 
 def joined(lines: DataFrame, keys: list[str], section: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +35,21 @@ def exchanges(messages: DataFrame) -> DataFrame:
     return both.withColumn("text", F.concat(F.lit("User: "), "user_text", F.lit("\nAssistant: "), "assistant_text"))
 
 
-def pack_sentences(text: Column, target_tokens: int) -> Column:
-    """Pieces of a text: whole if it fits, else sentences packed up to the target; a longer sentence stays whole."""
+def pack_sentences(text: Column, target_tokens: int, tokens: Callable[[Column], Column] = estimate_tokens) -> Column:
+    """Pieces of a text: whole if it fits, else sentences packed up to the target; a longer sentence stays whole.
+
+    `tokens` counts the tokens of a text column.
+    """
     acc_type = "struct<buf: string, out: array<string>>"
 
     def step(acc, s):
         longer = strip(F.concat(acc["buf"], F.lit(" "), s))
-        full = (acc["buf"] != "") & (estimate_tokens(longer) > target_tokens)
+        full = (acc["buf"] != "") & (tokens(longer) > target_tokens)
         return F.struct(F.when(full, s).otherwise(longer).alias("buf"), F.when(full, F.array_append(acc["out"], acc["buf"])).otherwise(acc["out"]).alias("out"))
 
     packed = F.aggregate(sentences(text), F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out")).cast(acc_type), step)
     done = F.when(packed["buf"] != "", F.array_append(packed["out"], packed["buf"])).otherwise(packed["out"])
-    return F.when(estimate_tokens(text) <= target_tokens, F.array(text)).otherwise(done)
+    return F.when(tokens(text) <= target_tokens, F.array(text)).otherwise(done)
 
 
 def chunked(pairs: DataFrame, target_tokens: int = 400) -> DataFrame:

@@ -202,6 +202,8 @@ def test_chunk_packing(spark):
     got = {r["id"]: r["p"] for r in rows.select("id", sessions.pack_sentences(F.col("t"), 50).alias("p")).collect()}
     assert len(got[1]) > 1 and " ".join(got[1]) == long and all(len(p) <= 203 for p in got[1])
     assert got[2] == ["short\nline"] and got[3] == ["x" * 900]
+    words = rows.filter("id = 1").select(sessions.pack_sentences(F.col("t"), 12, lambda c: F.size(F.split(c, " "))).alias("p")).head()["p"]
+    assert all(len(p.split()) <= 12 for p in words) and " ".join(words) == long
 
 
 def test_lessons(spark):
@@ -214,6 +216,7 @@ def test_lessons(spark):
 def test_fit_is_a_prefix(spark):
     lines = spark.createDataFrame([(1, i, "x" * (4 * n)) for i, n in enumerate([3, 3, 9, 1])], "q int, i int, line string")
     assert [r["i"] for r in assembly.fit_lines(lines, ["q"], [F.col("i")], 8).collect()] == [0, 1]
+    assert assembly.fit_lines(lines, ["q"], [F.col("i")], 3, tokens=lambda c: F.lit(1)).count() == 3
 
 
 def test_extraction(spark):

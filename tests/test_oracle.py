@@ -24,3 +24,18 @@ def test_query(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "mnemolake.llm.queries", None)
+    assert set(__spark_entry__.queries()) == set(queries()) and "hybrid_recall" in __spark_entry__.oracle_sql()
+
+
+def test_flagship(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0

@@ -33,9 +33,13 @@ def test_memory_store(spark, tmp_path):
     assert m.table("access_log").count() == 2
     assert m.forget("city") is True and m.forget("city") is False
     assert m.sessions().head()["message_count"] == 4
-    assert [r["role"] for r in m.resume_session(m.session_id).collect()] == ["user", "assistant"] * 2
+    session = m.session_id
+    m.report_evictions([("a b", "c")])
+    m.end_session()
+    assert [r["role"] for r in m.resume_session(session).collect()] == ["user", "assistant"] * 2
+    assert m.resume_session().count() == 4 and m.session_id is None and m.rolling_summary.startswith("[1 earlier")
     assert {r["name"]: r["rows"] for r in m.stats().collect()}["messages"] == 4
-    assert m.report_evictions([("a b", "c")]).startswith("[1 earlier")
+    assert m.report_evictions([("a b", "c")]).endswith("[+1 more turn(s) omitted]")
     parts = m.explain("brakes kitchen")
     row = parts["chunks"].head()
     assert abs(row["total"] - row["relevance"] - row["importance_nudge"] - row["recency_nudge"] - row["graph_nudge"]) < 1e-9
