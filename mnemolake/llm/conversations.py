@@ -6,14 +6,18 @@ senders' clocks may disagree; the offset that fits these constraints best is
 estimated by least squares per session, kept within what the constraints
 allow, and taken off the assistant's timestamps. All decisions come from
 fixed-width aggregates in two steps (by turn, then by session), so a session
-of any size is never gathered in one task.
+of any size is never gathered in one task. System rows take no part in the
+decisions; they are placed by turn, then by time and arrival.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+from ..operators.ordered import bucket_if_hot, with_running_sum
+
 BLANKS = " \t\r\n"
 
 
@@ -21,16 +25,20 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"\A[ \t\r\n]+|[ \t\r\n]+\z", "")
 
 
-def clean_rows(messages: DataFrame) -> DataFrame:
-    """(session_id, turn, role, text, id, micros) of the rows that count.
+def stated_rows(messages: DataFrame) -> DataFrame:
+    """(session_id, turn, role, text, id, micros) of the rows with a session and content.
 
-    Rows without a session or with blank content are ignored, system rows are
-    set aside; `role` is lower case without outer blanks, `text` the content
-    without outer blanks.
+    `role` is lower case without outer blanks, `text` the content without
+    outer blanks.
     """
     text, role = _trim(F.col("content").cast("string")), F.lower(_trim(F.col("role")))
     rows = messages.select(F.col("session_id").cast("bigint"), F.col("turn").cast("int"), role.alias("role"), text.alias("text"), "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"))
-    return rows.filter("session_id is not null and text is not null and text != '' and not role <=> 'system'")
+    return rows.filter("session_id is not null and text is not null and text != ''")
+
+
+def clean_rows(messages: DataFrame) -> DataFrame:
+    """The stated rows by which a session is judged: system rows are set aside."""
+    return stated_rows(messages).filter("not role <=> 'system'")
 
 
 def assess_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
@@ -102,7 +110,7 @@ def assess_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_conversations(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+def rebuild_conversations(sessions: DataFrame, messages: DataFrame, *, with_system: bool = False) -> DataFrame:
     """(session_id, position, turn, role, content, corrected_at) of the kept sessions.
 
     One row per utterance, positions 1, 2, 3 ... in conversation order: within
@@ -110,9 +118,61 @@ def rebuild_conversations(sessions: DataFrame, messages: DataFrame) -> DataFrame
     role and nothing is sorted. Resent rows are one utterance, with the text of
     the smallest id and the earliest time; times are corrected for the clock
     offset and null where no copy has one.
+    `with_system` adds the system rows (else they are left out), of those of
+    one turn and text the first; they keep their turn, which may be 0 or null.
+    One stands in its turn before the question, between, or behind the reply,
+    as its time says, or its id where a time is missing; one without a turn
+    stands in the last turn that was asked by then; turns below 1 open and
+    turns beyond the last one close the conversation. Positions count them.
     """
     kept = assess_sessions(sessions, messages).filter("reason is null").select("session_id", "offset_micros")
-    said = clean_rows(messages).groupBy("session_id", "turn", "role").agg(F.min_by("text", "id").alias("content"), F.min("micros").alias("micros"))
+    if with_system:
+        kept = checkpointed(kept)
+    said = clean_rows(messages).groupBy("session_id", "turn", "role").agg(F.min_by("text", "id").alias("content"), F.min("micros").alias("micros"), F.min("id").alias("id"))
     reply = F.col("role") == "assistant"
-    at = F.timestamp_micros(F.col("micros") - F.when(reply, F.col("offset_micros")).otherwise(0))
-    return said.join(kept, "session_id").select("session_id", (F.col("turn") * 2 - F.when(reply, 0).otherwise(1)).alias("position"), "turn", "role", "content", at.alias("corrected_at"))
+    said = said.join(kept, "session_id").withColumn("micros", F.col("micros") - F.when(reply, F.col("offset_micros")).otherwise(0))
+    columns = ("session_id", "position", "turn", "role", "content", F.timestamp_micros("micros").alias("corrected_at"))
+    if not with_system:
+        return said.withColumn("position", F.col("turn") * 2 - F.when(reply, 0).otherwise(1)).select(*columns)
+    placed = _placed_system(stated_rows(messages).filter("role = 'system'").join(kept, "session_id", "left_semi"), said)
+    every = said.select("session_id", "turn", "role", "content", "micros", "id", F.col("turn").alias("slot"), F.when(reply, 3).otherwise(1).alias("place")).unionByName(placed)
+    bucket = bucket_if_hot(messages.filter("session_id is not null"), ["session_id"], F.floor(F.col("slot") / 100_000))
+    counted = with_running_sum(every, ["session_id"], ["slot", "place", "micros", "id"], bucket, F.lit(1), "before")
+    return counted.withColumn("position", (F.col("before") + 1).cast("int")).select(*columns)
+
+
+def _placed_system(system: DataFrame, said: DataFrame) -> DataFrame:
+    """System rows with `slot` and `place`, their turn and their place in it: 0 before the question (1), 2, or 4 behind the reply (3)."""
+    once = system.groupBy("session_id", "turn", F.col("text").alias("content")).agg(F.min("micros").alias("micros"), F.min("id").alias("id"))
+    spoken = said.select("session_id", "turn", "role", "micros", "id")
+    found = _asked_turn(once.filter("turn is null"), spoken.filter("role = 'user'"))
+    slotted = once.join(found, ["session_id", "id"], "left").withColumn("slot", F.coalesce("turn", "asked", F.lit(0)))
+    sides = spoken.groupBy("session_id", F.col("turn").alias("slot")).agg(*(F.max(F.when(F.col("role") == r, F.struct("micros", "id"))).alias(n) for r, n in (("user", "u"), ("assistant", "a"))))
+
+    def since(side: str) -> Column:
+        timed = F.col("micros").isNotNull() & F.col(f"{side}.micros").isNotNull() & (F.col("micros") != F.col(f"{side}.micros"))
+        return F.coalesce(F.when(timed, F.col("micros") > F.col(f"{side}.micros")).otherwise(F.col("id") > F.col(f"{side}.id")), F.lit(False))
+
+    place = F.when(~since("u"), 0).when(since("a"), 4).otherwise(2)
+    return slotted.join(sides, ["session_id", "slot"], "left").select("session_id", "turn", F.lit("system").alias("role"), "content", "micros", "id", "slot", place.alias("place"))
+
+
+def _asked_turn(lost: DataFrame, asked: DataFrame) -> DataFrame:
+    """(session_id, id, asked) of system rows without a turn: the last turn asked before, by time, or by id where they have no time.
+
+    The running maximum is taken within a day (or 100,000 ids) of a session and
+    carried across from one row for each of them.
+    """
+    spans = {"time": ("micros", 86_400_000_000), "arrival": ("id", 100_000)}
+    asked = asked.join(lost.select("session_id").distinct(), "session_id", "left_semi")
+    rows = None
+    for clock, (at, width) in spans.items():
+        of = lost.filter("micros is not null" if clock == "time" else "micros is null")
+        both = of.select("session_id", "id", F.col(at).alias("at"), F.lit(None).cast("int").alias("asked")).unionByName(asked.select("session_id", "id", F.col(at).alias("at"), F.col("turn").alias("asked")).filter("at is not null"))
+        both = both.select("*", F.lit(clock).alias("clock"), F.floor(F.col("at") / width).alias("span"))
+        rows = both if rows is None else rows.unionByName(both)
+    within = Window.partitionBy("session_id", "clock", "span").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy("session_id", "clock").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy("session_id", "clock", "span").agg(F.max("asked").alias("most")).withColumn("most", F.max("most").over(across))
+    local = rows.withColumn("here", F.max("asked").over(within)).filter("asked is null")
+    return local.join(earlier, ["session_id", "clock", "span"]).select("session_id", "id", F.coalesce(F.greatest("here", "most"), F.lit(0)).alias("asked"))

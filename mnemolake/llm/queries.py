@@ -71,8 +71,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered utterances of the kept sessions."""
-    return rebuild_conversations(_table(spark, sf_dir, "sessions"), _table(spark, sf_dir, "messages"))
+    """Ordered utterances of the kept sessions, those of the system included."""
+    return rebuild_conversations(_table(spark, sf_dir, "sessions"), _table(spark, sf_dir, "messages"), with_system=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

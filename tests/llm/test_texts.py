@@ -11,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mnemolake.llm import leakage, pii, repetition, splitting, tokens
+from mnemolake.llm import conversations, leakage, pii, repetition, splitting, tokens
 from mnemolake.llm.conversations import assess_sessions, rebuild_conversations
+from mnemolake.operators import ordered
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,6 +126,24 @@ def test_conversations(spark):
     assert assess_sessions(ids.limit(0), none).count() == 0 and rebuild_conversations(ids, none).count() == 0
 
 
+def test_system_rows_of_conversations(spark, monkeypatch):
+    t = dt.datetime(2024, 1, 1)
+    s = dt.timedelta(seconds=1)
+    rows = [
+        (1, 1, 1, "user", "q1", t), (2, 1, 1, "assistant", "r1", t + 9 * s), (3, 1, 2, "user", "q2", t + 20 * s), (4, 1, 2, "assistant", "r2", t + 29 * s), (5, 1, 0, "system", "opening", t + 99 * s), (6, 1, 0, "SYSTEM\n", " opening", t),
+        (7, 1, 1, "system", "between", t + 4 * s), (8, 1, 2, "system", "before", t + 15 * s), (9, 1, 2, "System", "behind", t + 40 * s), (10, 1, 7, "system", "closing", None), (11, 1, None, "system", "no turn", t + 21 * s), (12, 1, 1, "system", " ", t),
+        (13, 1, None, "system", "no turn, no time", None), (14, 2, 1, "system", "dropped", t), (20, 3, 1, "user", "q", None), (21, 3, 1, "system", "by arrival", t), (22, 3, 1, "assistant", "r", t),
+    ]
+    m = spark.createDataFrame(rows, "id bigint, session_id bigint, turn int, role string, content string, created_at timestamp_ntz")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
+    want = [(1, 1, "opening"), (1, 2, "q1"), (1, 3, "between"), (1, 4, "r1"), (1, 5, "before"), (1, 6, "q2"), (1, 7, "no turn"), (1, 8, "r2"), (1, 9, "no turn, no time"), (1, 10, "behind"), (1, 11, "closing"), (3, 1, "q"), (3, 2, "by arrival"), (3, 3, "r")]
+    for hot in (1_000_000, 1):
+        monkeypatch.setattr(conversations, "bucket_if_hot", lambda df, keys, bucket, hot=hot: ordered.bucket_if_hot(df, keys, bucket, hot))
+        got = rebuild_conversations(ids, m, with_system=True).orderBy("session_id", "position").collect()
+        assert [(r["session_id"], r["position"], r["content"]) for r in got] == want
+        assert [r["turn"] for r in got if r["role"] == "system"] == [0, 1, 2, None, None, 2, 7, 1]
+
+
 # --- encoding ---------------------------------------------------------------------------
 
 
