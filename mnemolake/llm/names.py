@@ -2,7 +2,8 @@
 
 Each spelling is reduced to a key (last name with the given name's initial, or
 the distinctive words of an organisation), the key's padded q-grams are
-MinHashed, and keys that agree in one band are compared: Monge-Elkan similarity
+MinHashed, and keys that agree in one band are compared, as are all that share
+an edit signature, which every pair that can be similar does: Monge-Elkan similarity
 over the spelling's parts, whose inner similarity knows typing errors,
 look-alike characters, initials, nicknames and abbreviations. The links are
 clustered by star clustering: the spelling with most links becomes a centre
@@ -35,8 +36,10 @@ ROWS_PER_BAND = 4
 #: Similarity of q-gram sets from which a pair should become a candidate, and with what probability.
 TARGET_SIMILARITY, TARGET_RECALL = 0.5, 0.87
 THRESHOLD = 0.90
-#: Distinct keys in one bucket from which a second band must agree as well.
+#: Distinct keys in one bucket of a band from which a second band must agree as well; signatures have no limit.
 BUCKET_LIMIT = 256
+#: Longest word whose signatures are its deletions; longer ones have segments.
+DELETION_LENGTH = 24
 
 #: Aliases that say nothing (fixed values).
 USELESS = frozenset(("", "?", "-", "--", "n/a", "na", "none", "null", "unknown", "tbd", "other", "user", "me", "anonymous"))
@@ -64,6 +67,11 @@ def skeleton(word: str) -> str:
     return word.replace("rn", "m").translate(_LOOK)
 
 
+def allowed_edits(length: int) -> int:
+    """Edits that a pair of words may differ by, from the shorter one's length."""
+    return 2 if length >= 7 else 1 if length >= 4 else 0
+
+
 _LOOK = str.maketrans("013457l|", "oieastii")
 
 
@@ -117,8 +125,7 @@ def word_similarity(a: str, b: str) -> float:
     x, y = skeleton(a), skeleton(b)
     if x == y:
         return 1.0
-    shorter = min(len(a), len(b))
-    allowed = 2 if shorter >= 7 else 1 if shorter >= 4 else 0
+    allowed = allowed_edits(min(len(a), len(b)))
     n = min(edits(x, y, allowed), edits(a, b, allowed)) if allowed else 9
     if n <= allowed:
         return max(0.9 if n == 1 else 0.86, 1 - n / max(len(a), len(b)))
@@ -313,6 +320,55 @@ def minhash_bands(key: str, bands: int, rows: int = ROWS_PER_BAND) -> list[int]:
     return out
 
 
+# --- edit signatures --------------------------------------------------------
+
+
+@lru_cache(1 << 14)
+def edit_signatures(word: str) -> frozenset[str]:
+    """Strings of which any two words with `word_similarity` of 0.8 or more have one in common.
+
+    Words within n edits or transpositions become equal by at most n deletions
+    in each. Of a long word, 5 segments are taken instead, of which 2 edits
+    leave one whole, and what may equal them in a word of nearly the same length.
+    """
+    out, n = set(), allowed_edits(len(word))
+    for form in {skeleton(word), word.translate(_LOOK)}:  # look-alikes never add edits, except by "rn"
+        if len(form) <= DELETION_LENGTH:
+            level = {form}
+            out |= level
+            for _ in range(n):
+                level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+                out |= level
+        if len(form) > DELETION_LENGTH - 2:
+            for length in range(len(form) - 2, len(form) + 3):
+                cuts = [length * i // 5 for i in range(6)]
+                for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
+                    out |= {f"{length}/{i}/{form[at : at + end - start]}" for at in range(max(0, start - 2), start + 3) if at + end - start <= len(form)}
+    return frozenset(out)
+
+
+def signatures(p: tuple) -> list[int]:
+    """Signed 64-bit hashes of which any two parsed spellings with a `similarity` above 0 have one in common.
+
+    A person's last name with each letter that may begin the given name, or with
+    none where an unknown given name may be mistyped there; an
+    organisation's whole root and each of its words, since all must have a counterpart.
+    """
+    if p[0] == "C":
+        found = {"c:" + p[1]}
+    elif p[0] == "O":
+        found = {"o:" + s for w in {"".join(p[1]), *p[1]} for s in edit_signatures(w)}
+    elif not p[1]:
+        return []  # similar to nothing
+    else:
+        given = p[1].rstrip(".")
+        letters = {given[:1], formal(given)[:1]}
+        if len(given) > 2 and not p[1].endswith(".") and given not in _PEOPLE:
+            letters.add("*")
+        found = {f"p:{c}:{s}" for c in letters for s in edit_signatures(p[2])}
+    return [h - (1 << 64) if h >= 1 << 63 else h for h in map(xxhash.xxh64_intdigest, found)]
+
+
 # --- the operator -----------------------------------------------------------
 
 
@@ -340,22 +396,29 @@ def spellings(nodes: DataFrame) -> DataFrame:
 
 
 def _keys(df: DataFrame, bands: int) -> DataFrame:
-    """(name, key, vague, bands) of distinct spellings; equal keys share their bands."""
+    """(name, org, norm, key, bands, signs) of distinct spellings; equal keys share their bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys, hashes = batch.column(0), [], []
+            names, keys, hashes, signs = batch.column(0), [], [], []
             for org, norm in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = blocking_key(parse(norm, org))
+                p = parse(norm, org)
+                key = blocking_key(p)
                 keys.append(key)
+                signs.append(signatures(p))
                 hashes.append([xxhash.xxh64_intdigest(key) >> 1] if key[0] == "c" else minhash_bands(key, bands))
-            yield pa.RecordBatch.from_arrays([names, batch.column(1), batch.column(2), pa.array(keys, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["name", "org", "norm", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([names, batch.column(1), batch.column(2), pa.array(keys, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], ["name", "org", "norm", "key", "bands", "signs"])
 
-    return map_batches(df, run, "name bigint, org boolean, norm string, key string, bands array<bigint>")
+    return map_batches(df, run, "name bigint, org boolean, norm string, key string, bands array<bigint>, signs array<bigint>")
 
 
 def candidate_pairs(keyed: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Distinct (a, b), a < b, of spellings that share a band; in crowded buckets, two bands."""
+    """Distinct (a, b), a < b, of spellings that share a signature or a band; in crowded buckets of a band, two bands.
+
+    The signatures alone hold every pair that `verify` can accept, at any
+    size; a bucket's pairs are made in blocks of it, so that no task has all
+    pairs of a crowded one.
+    """
     by_band = keyed.select("name", F.posexplode("bands").alias("band", "hash"))
     sizes = by_band.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
     members = by_band.join(sizes, ["band", "hash"])
@@ -363,9 +426,14 @@ def candidate_pairs(keyed: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataF
     crowded = members.filter(F.col("n") > bucket_limit)
     other = crowded.select("name", F.xxhash64("band", "hash").alias("first"), F.col("band").alias("i"))
     second = other.join(by_band, "name").filter("band > i").select("name", F.xxhash64("first", "band", "hash").alias("bucket"))
-    buckets = small.unionByName(second)
-    a, b = buckets.withColumnRenamed("name", "a"), buckets.withColumnRenamed("name", "b")
-    return a.join(b, "bucket").filter("a < b").select("a", "b").distinct()
+    signs = keyed.select("name", F.explode("signs").alias("bucket"))
+    buckets = small.unionByName(second).unionByName(signs.select("name", F.xxhash64(F.lit("sign"), "bucket").alias("bucket")))
+    blocks = F.ceil(F.col("n") / bucket_limit).cast("int")
+    # Row i of the blocks' square has the pairs of a name in block i with one in any block.
+    held = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket").select("name", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("name"), blocks).cast("int").alias("block"))
+    a = held.select(F.col("name").alias("a"), "bucket", "block")
+    b = held.select(F.col("name").alias("b"), "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return a.join(b, ["bucket", "block"]).filter("a < b").select("a", "b").distinct()
 
 
 def verify(pairs: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:

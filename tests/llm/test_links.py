@@ -52,6 +52,30 @@ def test_linking(spark):
     assert names.candidate_pairs(names._keys(spark.createDataFrame([(1, False, "robert fobarius"), (2, False, "robert fobaruis")], "name bigint, org boolean, norm string"), 32), bucket_limit=1).count() == 1
 
 
+def test_candidates_hold_all_similar_pairs(spark):
+    """Every pair that verification accepts is a candidate, even where each bucket counts as crowded."""
+    rng = random.Random(3)
+    letters = "abcdeghilmnorstuv01"
+    spelt = {(r["org"], r["norm"]) for r in names.spellings(spark.read.parquet(f"{SF}/graph_nodes.parquet")).collect()}
+    for n in (3, 4, 6, 7, 8, 11, 14, 22, 24, 27):
+        for _ in range(4):
+            last, given = "".join(rng.choices(letters, k=n)), rng.choice(["robert", "bobby", "quentarix", "b.", "r", "rob."])
+            for _ in range(5):
+                w = list(last)
+                for _ in range(rng.randint(0, 2)):
+                    i = rng.randrange(len(w) - 1)
+                    w[i : i + 2] = rng.choice([[w[i + 1], w[i]], [w[i]], [w[i], "x", w[i + 1]], ["rn", w[i + 1]]])
+                spelt |= {(False, f"{rng.choice([given, 'xuentarix', 'bob'])} {''.join(w)}"), (True, f"{''.join(w)} {rng.choice(['zanthor', 'zanhtor'])} ltd"), (True, f"{rng.choice(['zanthor', 'zathor'])} {''.join(w)} marine ltd")}
+    spelt = sorted(spelt)
+    parsed = [names.parse(norm, org) for org, norm in spelt]
+    want = {(i, j) for j in range(len(spelt)) for i in range(j) if names.similarity(parsed[i], parsed[j]) >= names.THRESHOLD}
+    keyed = names._keys(spark.createDataFrame([(i, *x) for i, x in enumerate(spelt)], "name bigint, org boolean, norm string"), 32)
+    assert len(want) > 500
+    assert not want - {(r["a"], r["b"]) for r in names.candidate_pairs(keyed, bucket_limit=1).collect()}
+    signs = [set(names.signatures(p)) for p in parsed]
+    assert all(signs[i] & signs[j] for i, j in want)
+
+
 def test_vague_names_need_one_meaning(spark):
     rows = [(1, "person", "margaret fobarius", None), (2, "person", "michael fobarius", None), (3, "person", "m. fobarius", None)]
     assert entities(spark, rows) == [[1], [2], [3]]
