@@ -33,7 +33,8 @@ from .lexicon import GIVEN_NAMES, LEGAL_FORMS, NICKNAMES, TITLES
 
 Q = 2
 ROWS_PER_BAND = 4
-#: Similarity of q-gram sets from which a pair should become a candidate, and with what probability.
+#: Similarity of q-gram sets from which a pair should become a candidate by the bands alone, and with what probability;
+#: typing errors in short keys go below it, and are found by the edit signatures.
 TARGET_SIMILARITY, TARGET_RECALL = 0.5, 0.87
 THRESHOLD = 0.90
 #: Distinct keys in one bucket of a band from which a second band must agree as well; signatures have no limit.

@@ -76,6 +76,25 @@ def test_candidates_hold_all_similar_pairs(spark):
     assert all(signs[i] & signs[j] for i, j in want)
 
 
+def test_typing_errors_in_short_names(spark):
+    """One transposition in 4 to 7 characters and two edits in 7 to 10 are always candidates."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        n = 4 + i % 4
+        a = "".join(rng.sample("abdegknostuvz", n))
+        j = rng.randrange(n - 1)
+        rows += [(2 * i, False, f"robert {a}"), (2 * i + 1, False, f"robert {a[:j]}{a[j + 1]}{a[j]}{a[j + 2 :]}")]
+    for i in range(200, 400):
+        a = "".join(rng.choices("abdegknostuvz", k=7 + i % 4))
+        rows += [(2 * i, False, f"robert {a}"), (2 * i + 1, False, f"robert {a[0]}x{a[2:5]}y{a[6:]}")]
+    keyed = names._keys(spark.createDataFrame(rows, "name bigint, org boolean, norm string"), names.bands_needed())
+    got = {(r["a"], r["b"]) for r in names.candidate_pairs(keyed).collect()}
+    assert all((2 * i, 2 * i + 1) in got for i in range(400))
+    bands = {r["name"]: set(enumerate(r["bands"])) for r in keyed.collect()}
+    assert sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(400)) < 360  # the bands alone
+
+
 def test_vague_names_need_one_meaning(spark):
     rows = [(1, "person", "margaret fobarius", None), (2, "person", "michael fobarius", None), (3, "person", "m. fobarius", None)]
     assert entities(spark, rows) == [[1], [2], [3]]
