@@ -3,11 +3,12 @@
 Unit vectors are projected onto m random Gaussian directions (a 2-stable
 projection: a pair at distance d is a projected distance of d * chi(m) apart).
 A kd-tree over the first levels of projected space, fitted on a bounded sample,
-assigns every vector to a cell; a query visits its own cell and those others
-in which, by the normal law of each split coordinate, its neighbours may lie.
-Inside a cell, projected neighbours are verified by their true cosine in
-growing radii until the chi-square test says that no closer neighbour is left
-with the chosen probability.
+assigns every vector to a cell. In its own cell, a query's projected neighbours
+are verified by their true cosine in growing radii until the chi-square test
+says that no closer neighbour is left with the chosen probability. The distance
+of the k-th best found there bounds the true one: by it, and the normal law of
+each split coordinate, the query visits the other cells in which its neighbours
+may lie, and is searched there within the radius that the test asks for it.
 
 Equal vectors are one class: only the k + 1 smallest ids of a class can be
 among the answers, so copies cost nothing however many there are.
@@ -32,6 +33,10 @@ CELL_ROWS = 16_384
 SPLIT_SAMPLE, DISTANCE_SAMPLE = 20_000, 64
 #: Probability of the chi-square stopping test, and share of the neighbours that visited cells should hold.
 STOP_PROBABILITY, VISIT_PROBABILITY = 0.985, 0.985
+#: Share of a chunk's pairs within their radii from which all of them are compared.
+DENSE = 0.02
+#: Least squared distance that is told from 0 in float32 projections.
+LEAST_SQUARE = 1e-6
 _SEED = 20_240_601
 
 
@@ -82,11 +87,11 @@ class CellTree:
             node = 2 * node + 1 + (p[np.arange(len(p)), self.dims[node]] > self.cuts[node])
         return node - (2**self.depth - 1)
 
-    def visits(self, p: np.ndarray, distance: float, enough: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) to visit: the likeliest cells of a neighbour at `distance` until they hold `enough`."""
+    def visits(self, p: np.ndarray, distance: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) to visit: the likeliest cells of a neighbour at the row's `distance` until they hold `enough`."""
         row, node, prob = np.arange(len(p)), np.zeros(len(p), np.int64), np.ones(len(p))
         for _ in range(self.depth):
-            z = (p[row, self.dims[node]] - self.cuts[node]) / max(distance, 1e-9)
+            z = (p[row, self.dims[node]] - self.cuts[node]) / distance[row]
             right = 1 / (1 + np.exp(np.clip(-1.702 * z, -60, 60)))  # the normal law, nearly
             row, node = np.r_[row, row], np.r_[2 * node + 1, 2 * node + 2]
             prob = np.r_[prob * (1 - right), prob * right]
@@ -106,14 +111,12 @@ def unit_rows(lists: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search_block(x: np.ndarray, q: np.ndarray, px: np.ndarray, pq: np.ndarray, k: int, radii: tuple[float, float], stop: float, own: np.ndarray, chunk: int = 256, leaf: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(x: np.ndarray, q: np.ndarray, px: np.ndarray, pq: np.ndarray, k: int, first: np.ndarray, sure: float, stop: float, grow: bool, chunk: int = 256, leaf: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, cosine) of verified candidates that include each query's k best of this block.
 
-    `radii` are squared projected radii: the first one, and the one that is
-    enough for nearly all neighbours of the collection. A query of this block
-    (`own`) starts with the first and goes on until the test holds for its
-    k-th best here, or until the second; with fewer than k candidates it goes
-    on until it has k or has seen all rows. A visitor is searched within their mean.
+    `first` has each query's squared projected radius. If they `grow`, a query
+    goes on until the test holds for its k-th best here, or it has seen all
+    rows; with fewer than k candidates it goes on, to `sure` at least.
     """
     order = _leaf_order(px, leaf)
     x, px = x[order], px[order]
@@ -122,8 +125,7 @@ def search_block(x: np.ndarray, q: np.ndarray, px: np.ndarray, pq: np.ndarray, k
     high = np.stack([px[s : s + leaf].max(0) for s in bounds])
     table = np.concatenate([px, (px * px).sum(1, keepdims=True), np.ones((len(px), 1), px.dtype)], 1)
     out_q, out_x, out_s = [], [], []
-    first = np.where(own, radii[0], (radii[0] + radii[1]) / 2)
-    turn = np.lexsort((*(np.sign(pq[:, j]) for j in range(min(4, pq.shape[1]))), own))
+    turn = np.lexsort([np.sign(pq[:, j]) for j in range(min(4, pq.shape[1]))])
     for at in range(0, len(q), chunk):
         todo = turn[at : at + chunk]
         r2 = first[todo]
@@ -134,20 +136,25 @@ def search_block(x: np.ndarray, q: np.ndarray, px: np.ndarray, pq: np.ndarray, k
             cols = np.concatenate([np.arange(s, min(s + leaf, len(x))) for s in bounds[near]]) if near.any() else np.zeros(0, np.int64)
             ask = np.concatenate([-2 * p, np.ones((len(p), 1), p.dtype), ((p * p).sum(1) - r2)[:, None].astype(p.dtype)], 1)
             inside = ask @ (table if len(cols) == len(x) else table[cols]).T <= 0  # squared distances less radii
-            i, j = np.divmod(np.flatnonzero(inside), max(1, len(cols)))
-            j = cols[j]
-            s = np.round(np.einsum("ij,ij->i", q[todo[i]], x[j]), 12)
-            # the k-th best of each query
-            rank = np.lexsort((-s, i))
-            si, ss = i[rank], s[rank]
-            begin = np.searchsorted(si, np.arange(len(todo)))
-            have = np.searchsorted(si, np.arange(len(todo)), "right") - begin
-            kth = np.full(len(todo), -1.0)
+            have = inside.sum(1)
             enough = have >= k
-            kth[enough] = ss[begin[enough] + k - 1]
-            need = np.where(enough, np.minimum(stop * np.maximum(2 - 2 * kth, 1e-12), radii[1]), np.maximum(r2 * 2, radii[1]))
-            again = own[todo] & (need > r2 * (1 + 1e-4)) & ~((have >= len(x)) | (r2 >= 1e4))
-            done = ~again[i]
+            kth = np.full(len(todo), -1.0)
+            if inside.sum() > DENSE * inside.size and len(cols) >= k:  # all cosines at once take less than those of many single pairs
+                every = np.where(inside, np.round(q[todo] @ x[cols].T, 12), -9.0)
+                kth[enough] = -np.partition(-every, k - 1, axis=1)[enough, k - 1]
+                i, j = np.nonzero(inside & (every >= kth[:, None]))
+                s, j = every[i, j], cols[j]
+            else:
+                i, j = np.divmod(np.flatnonzero(inside), max(1, len(cols)))
+                j = cols[j]
+                s = np.round(np.einsum("ij,ij->i", q[todo[i]], x[j]), 12)
+                # the k-th best of each query
+                rank = np.lexsort((-s, i))
+                begin = np.searchsorted(i, np.arange(len(todo)))
+                kth[enough] = s[rank][begin[enough] + k - 1]
+            need = np.where(enough, stop * np.maximum(2 - 2 * kth, LEAST_SQUARE), np.maximum(r2 * 2, sure))
+            again = grow & (need > r2 * (1 + 1e-4)) & ~((have >= len(x)) | (r2 >= 1e4))
+            done = ~again[i] & (s >= kth[i])
             out_q.append(todo[i[done]])
             out_x.append(order[j[done]])
             out_s.append(s[done])
@@ -226,8 +233,11 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     for r in kth.groupBy("grp").agg(F.percentile(F.element_at("best", -1), 0.05).alias("sure"), F.percentile(F.element_at("best", -1), 0.4).alias("usual")).collect():
         scales[r["grp"]] = (math.sqrt(max(1e-6, 2 - 2 * r["usual"])), math.sqrt(max(1e-6, 2 - 2 * r["sure"])))
     scales = {g: v if isinstance(v, tuple) else (v, v) for g, v in scales.items()}
-    routed = map_batches(rows, _router(dim, trees, scales, k, visit), "block bigint, own boolean, id bigint, h1 bigint, h2 bigint, grp string, x binary")
-    found = routed.groupBy("block").applyInArrow(_searcher(dim, trees, scales, k, stop), schema)
+    routed = map_batches(rows, _router(dim, trees, k), "block bigint, id bigint, h1 bigint, h2 bigint, grp string, x binary")
+    answer = "found array<struct<s: double, id: bigint>>"
+    classes = routed.groupBy("block").applyInArrow(_home_searcher(dim, trees, scales, k, stop), f"block bigint, h1 bigint, h2 bigint, grp string, x binary, reach double, ids array<bigint>, {answer}")
+    visiting = map_batches(classes, _visitors(dim, trees, visit), f"block bigint, own boolean, h1 bigint, h2 bigint, grp string, x binary, reach double, ids array<bigint>, {answer}")
+    found = visiting.groupBy("block").applyInArrow(_visit_searcher(dim, trees, k, stop), schema)
     best = found.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("best"))
     each = rows.select("id", "h1", "h2").join(best, ["h1", "h2"])
     ranked = each.select("id", F.posexplode(F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)).alias("at", "b"))
@@ -274,8 +284,13 @@ def _distance_scan(dim: int, probes: dict[str, np.ndarray], k: int):
     return run
 
 
-def _router(dim: int, trees: dict, scales: dict, k: int, visit: float):
-    """Rows for their own block, and again as visitors of others; of equal vectors the k + 1 smallest ids."""
+def _home(tree: CellTree, p: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    cell = tree.own(p)
+    return tree.first[cell] + (h1.view(np.uint64) % tree.blocks[cell].astype(np.uint64)).astype(np.int64)
+
+
+def _router(dim: int, trees: dict, k: int):
+    """Rows for their own block; of equal vectors the k + 1 smallest ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[int]] = {}
@@ -297,73 +312,123 @@ def _router(dim: int, trees: dict, scales: dict, k: int, visit: float):
             if not len(at):
                 continue
             raw = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-            packed = pa.array([v.tobytes() for v in raw], pa.binary())
             unit = (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-            block, own, source = [], [], []
+            block = np.zeros(len(at), np.int64)
             for g, (m, tree, offset) in trees.items():
                 mine = np.flatnonzero(names[at] == g)
+                if len(mine):
+                    block[mine] = offset + _home(tree, unit[mine] @ directions(dim, m), h1[at[mine]])
+            pick = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(block), *(batch.column(c).take(pick) for c in (0, 3, 4, 1)), pa.array([v.tobytes() for v in raw], pa.binary())], ["block", "id", "h1", "h2", "grp", "x"])
+
+    return run
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """float64 unit vectors of packed float32 ones."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
+def _best_ids(q: np.ndarray, x: np.ndarray, s: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Queries, their k + 1 best ids with similarities, and the squared distance of the last, 4 if there are fewer; the ids of row r start at begin[r]."""
+    n = count[x]
+    rep = np.repeat(np.arange(len(q)), n)
+    cand = ids[np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    qq, ss = q[rep], s[rep]
+    rank = np.lexsort((cand, -ss, qq))
+    qq, ss, cand = qq[rank], ss[rank], cand[rank]
+    keep = np.arange(len(qq)) - np.searchsorted(qq, qq) <= k
+    qq, ss, cand = qq[keep], ss[keep], cand[keep]
+    queries, first = np.unique(qq, return_index=True)
+    ends = np.r_[first, len(qq)]
+    reach = np.full(len(queries), 4.0)
+    full = np.diff(ends) > k
+    reach[full] = 2 - 2 * ss[ends[1:][full] - 1]
+    return queries, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(-ss), pa.array(cand)], names=["s", "id"])), reach
+
+
+def _home_searcher(dim: int, trees: dict, scales: dict, k: int, stop_probability: float):
+    """Classes of equal vectors of a block, with their best ids in it and the distance within which better ones may lie."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        name = table.column("grp")[0].as_py()
+        m = trees[name][0]
+        usual, sure = scales[name]
+        ids, h1, h2 = (table.column(c).to_numpy() for c in ("id", "h1", "h2"))
+        order = np.lexsort((ids, h2, h1))
+        begin = np.flatnonzero(np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+        count = np.minimum(np.diff(np.r_[begin, len(order)]), k + 1)
+        lead = pa.array(order[begin])
+        unit = _vectors(table.column("x").take(lead), dim)
+        p = unit.astype(np.float32) @ directions(dim, m)
+        stop = chi_square_quantile(stop_probability, m)
+        q, x, s = search_block(unit, unit, p, p, k + 1, np.full(len(unit), stop * usual**2), stop * sure**2, stop, True)
+        queries, found, reach = _best_ids(q, x, s, begin, count, ids[order], k)
+        members = [ids[order[b : b + n]] for b, n in zip(begin[queries], count[queries])]
+        pick = pa.array(order[begin[queries]])
+        return pa.Table.from_arrays([*(table.column(c).take(pick) for c in ("block", "h1", "h2", "grp", "x")), pa.array(np.sqrt(np.maximum(reach, LEAST_SQUARE))), pa.array(members, pa.list_(pa.int64())), found], ["block", "h1", "h2", "grp", "x", "reach", "ids", "found"])
+
+    return run
+
+
+def _visitors(dim: int, trees: dict, visit: float):
+    """The classes of each block, and again as visitors of other blocks, each by its own reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            home, reach = batch.column(0).to_numpy(), batch.column(5).to_numpy()
+            names = np.array(batch.column(3).to_pylist(), object)
+            unit = _vectors(batch.column(4), dim).astype(np.float32)
+            block, source = [], []
+            for g, (m, tree, offset) in trees.items():
+                mine = np.flatnonzero(names == g)
                 if not len(mine):
                     continue
-                p = unit[mine] @ directions(dim, m)
-                cell = tree.own(p)
-                part = (h1[at[mine]].view(np.uint64) % tree.blocks[cell].astype(np.uint64)).astype(np.int64)
-                home = tree.first[cell] + part
-                block.append(offset + home)
-                own.append(np.ones(len(mine), bool))
-                source.append(mine)
-                r, c = tree.visits(p, scales[g][0], visit)
+                r, c = tree.visits(unit[mine] @ directions(dim, m), reach[mine], visit)
                 n = tree.blocks[c]
-                r, first = np.repeat(r, n), np.repeat(tree.first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                away = first != home[r]
-                block.append(offset + first[away])
-                own.append(np.zeros(int(away.sum()), bool))
+                r, to = np.repeat(r, n), offset + np.repeat(tree.first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                away = to != home[mine[r]]
+                block.append(to[away])
                 source.append(mine[r[away]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ones(len(home), bool)), *(batch.column(c) for c in range(1, 8))], _VISIT)
             s = np.concatenate(source)
-            pick = pa.array(at[s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(block)), pa.array(np.concatenate(own)), batch.column(0).take(pick), batch.column(3).take(pick), batch.column(4).take(pick), batch.column(1).take(pick), packed.take(pa.array(s))], ["block", "own", "id", "h1", "h2", "grp", "x"])
+            for at in range(0, len(s), 10_000):
+                pick = pa.array(s[at : at + 10_000])
+                none = [pa.nulls(len(pick), batch.column(c).type) for c in (6, 7)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(block)[at : at + 10_000]), pa.array(np.zeros(len(pick), bool)), *(batch.column(c).take(pick) for c in range(1, 6)), *none], _VISIT)
 
     return run
 
 
-def _searcher(dim: int, trees: dict, scales: dict, k: int, stop_probability: float):
+_VISIT = ["block", "own", "h1", "h2", "grp", "x", "reach", "ids", "found"]
+
+
+def _visit_searcher(dim: int, trees: dict, k: int, stop_probability: float):
+    """What the classes of a block found at home, and what its visitors find in it."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        m, _, _ = trees[table.column("grp")[0].as_py()]
-        usual, sure = scales[table.column("grp")[0].as_py()]
-        own, ids, h1, h2 = (table.column(c).to_numpy() for c in ("own", "id", "h1", "h2"))
-        # Classes of equal vectors; an own row before a visiting copy.
-        order = np.lexsort((ids, ~own, h2, h1))
-        new = np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
-        lead, cls = order[new], np.cumsum(new) - 1
-        raw = np.frombuffer(b"".join(table.column("x").take(pa.array(lead)).to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
-        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        at_home = own[lead]
-        home = np.flatnonzero(at_home)
-        if not len(home):
-            return _found([], [], [])
+        own = table.column("own").to_numpy()
+        home, away = np.flatnonzero(own), np.flatnonzero(~own)
+        said = table.take(pa.array(home)).select(["h1", "h2", "found"]).combine_chunks()
+        if not len(home) or not len(away):
+            return said
+        m = trees[table.column("grp")[0].as_py()][0]
+        unit = _vectors(table.column("x"), dim)
         p = unit.astype(np.float32) @ directions(dim, m)
         stop = chi_square_quantile(stop_probability, m)
-        q, x, s = search_block(unit[home], unit, p[home], p, k + 1, (stop * usual**2, stop * sure**2), stop, at_home)
-        # ids of every home class, the k + 1 smallest, each as a candidate of the query
-        mine = own[order]
-        member_cls, member_id = cls[mine], ids[order][mine]
-        begin = np.searchsorted(member_cls, home)
-        count = np.minimum(np.searchsorted(member_cls, home, "right") - begin, k + 1)
-        n = count[x]
-        rep = np.repeat(np.arange(len(q)), n)
-        cand = member_id[np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        qq, ss = q[rep], s[rep]
-        rank = np.lexsort((cand, -ss, qq))
-        qq, ss, cand = qq[rank], ss[rank], cand[rank]
-        keep = np.arange(len(qq)) - np.searchsorted(qq, qq) <= k
-        qq, ss, cand = qq[keep], ss[keep], cand[keep]
-        queries, first = np.unique(qq, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(qq)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(-ss), pa.array(cand)], names=["s", "id"]))
-        return pa.Table.from_arrays([pa.array(h1[lead][queries]), pa.array(h2[lead][queries]), lists], ["h1", "h2", "found"])
+        q, x, s = search_block(unit[home], unit[away], p[home], p[away], k + 1, stop * table.column("reach").to_numpy()[away] ** 2, 0.0, stop, False)
+        if not len(q):
+            return said
+        members = table.column("ids").take(pa.array(home)).to_pylist()
+        count = np.array([len(v) for v in members])
+        queries, found, _ = _best_ids(q, x, s, np.cumsum(count) - count, count, np.concatenate([np.array(v, np.int64) for v in members]), k)
+        pick = pa.array(away[queries])
+        more = pa.Table.from_arrays([table.column("h1").take(pick), table.column("h2").take(pick), found.cast(said.schema.field("found").type)], ["h1", "h2", "found"])
+        return pa.concat_tables([said, more.cast(said.schema)])
 
     return run
-
-
-def _found(h1: list, h2: list, lists: list) -> pa.Table:
-    kind = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
-    return pa.Table.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(lists, kind)], ["h1", "h2", "found"])

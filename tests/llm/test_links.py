@@ -149,6 +149,24 @@ def test_neighbour_recall(spark, cell_rows):
     assert recall >= 0.95
 
 
+def test_neighbours_of_mixed_density(spark):
+    """Distinct vectors keep their neighbours among many copies, and the sparsest ones too."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((60, 64))
+    spread = np.repeat(rng.uniform(0.2, 0.9, 60), 12)[:, None]
+    loose = np.repeat(centres, 12, 0) + spread * rng.standard_normal((720, 64))
+    x = np.concatenate([loose, np.repeat(rng.standard_normal((2, 64)), 700, 0)]).astype(np.float32)
+    ids = rng.permutation(len(x)) + 1
+    rows = spark.createDataFrame([(int(i), [float(v) for v in r], "m") for i, r in zip(ids, x)], "id bigint, embedding array<float>, embedding_model string")
+    got = {}
+    for r in neighbours.nearest_vectors(rows, cell_rows=200).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    want = exact(ids, x.astype(np.float64), 5)
+    recall = np.array([len(set(want[i]) & set(got[i])) / 5 for i in map(int, ids[:720])])
+    assert recall.mean() >= 0.95 and recall[spread[:, 0] > 0.7].mean() >= 0.93
+    assert all(got[i] == want[i] for i in map(int, ids[720:]))
+
+
 def test_neighbour_edges(spark):
     v = [1.0] + [0.0] * 63
     w = [1.0, 0.1] + [0.0] * 62
