@@ -49,7 +49,7 @@ NICKNAMES = dict(
 )
 
 #: Titles of address (fixed values).
-TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "madam", "mister", "herr", "frau", "señor", "señora")
+TITLES = ("mr", "mrs", "ms", "mx", "miss", "dr", "prof", "professor", "sir", "madam", "mister", "herr", "frau", "señor", "señora")
 
 #: Legal forms of organisations and how they are written (fixed values).
 LEGAL_FORMS = frozenset(
