@@ -1,13 +1,15 @@
 """Conversations rebuilt from message rows.
 
-Turn numbers give the order and the constraints: within a turn the user's text
-stands before the reply, and the reply before the next turn's question. Two
-senders' clocks may disagree; the offset that fits these constraints best is
-estimated by least squares per session, kept within what the constraints
-allow, and taken off the assistant's timestamps. All decisions come from
-fixed-width aggregates in two steps (by turn, then by session), so a session
-of any size is never gathered in one task. System rows take no part in the
-decisions; they are placed by turn, then by time and arrival.
+A session is a system of reply-before constraints over places: turn t has a
+question and a reply, the question stands before its reply and the reply before
+the next question. The system can be solved if the places 1, 2, 3 ... are all
+held by one text each and joined by all constraints between neighbours; else
+the session is rejected. Two senders' clocks may disagree; the offset that fits
+the constraints best is estimated by least squares per session, kept within
+what they allow, and taken off the assistant's timestamps, by which the system
+rows are merged into the turns. All decisions come from fixed-width aggregates
+in two steps (by turn, then by session), so a session of any size is never
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from ..checkpoints import checkpointed
 from ..operators.ordered import bucket_if_hot, with_running_sum
 
 BLANKS = " \t\r\n"
+#: Turns of a session that one task joins; a longer session is spread.
+TURN_BLOCK = 10_000
 
 
 def _trim(c: Column) -> Column:
@@ -47,10 +51,11 @@ def assess_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     Columns: session_id, turns, offset_micros (assistant's clock minus the
     user's), clock_feasible, reason. A session is kept only if it has a row in
     `sessions`, a turn is left, all roles are user or assistant (system rows
-    aside), no turn number is null, the turns are 1, 2, 3 ... without a gap, and
-    each turn has one user text and one assistant text (texts that differ only
-    in outer blanks are one). Infeasible turn constraints reject a session;
-    times cannot, since rows arrive late: an empty interval of clock offsets
+    aside), no turn number is null, and its constraints can be solved: the turns
+    are 1, 2, 3 ... without a gap, and each has one user text and one assistant
+    text (texts that differ only in outer blanks are one), so that of T turns 2 T
+    places are held and 2 T - 1 constraints join them. Infeasible constraints reject a session;
+    times alone cannot, since rows arrive late: an empty interval of clock offsets
     only sets `clock_feasible` to false, and the offset to 0. Null session ids
     are no session. Empty tables give an empty result.
     """
@@ -65,24 +70,30 @@ def assess_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     by_turn = spread.groupBy("session_id", F.col("s.slot").alias("turn")).agg(
         F.count(F.when(own, 1)).alias("rows"),
         F.count(F.when(own & ~F.col("known"), 1)).alias("strange"),
+        F.count(F.when(~own, 1)).alias("following"),
         *(f(F.when(own & w, F.col(h))).alias(f"{n}_{h}_{k}") for n, w in (("user", user), ("reply", reply)) for h in ("one", "two") for k, f in (("min", F.min), ("max", F.max))),
         F.min(F.when(own & user, F.col("micros"))).alias("u"),
         F.min(F.when(own & reply, F.col("micros"))).alias("a"),
         F.min(F.when(~own, F.col("micros"))).alias("v"),
     )
-    single = F.lit(True)
-    for n in ("user", "reply"):
-        for h in ("one", "two"):
-            single = single & F.coalesce(F.col(f"{n}_{h}_min") == F.col(f"{n}_{h}_max"), F.lit(False))
+    def held(side: str) -> Column:
+        """Whether a side of a turn has one text."""
+        return F.coalesce((F.col(f"{side}_one_min") == F.col(f"{side}_one_max")) & (F.col(f"{side}_two_min") == F.col(f"{side}_two_max")), F.lit(False))
+
+    def total(*conditions: Column) -> Column:
+        return sum((F.sum(c.cast("bigint")) for c in conditions[1:]), F.sum(conditions[0].cast("bigint")))
+
     wait, gap = F.col("a") - F.col("u"), F.col("v") - F.col("a")
-    real = F.col("rows") > 0
+    real, asked, said = F.col("rows") > 0, held("user"), held("reply")
     by_session = by_turn.groupBy("session_id").agg(
         F.count(F.when(real, 1)).alias("turns"),
         F.sum(F.when(real & F.col("turn").isNull(), 1).otherwise(0)).alias("unnumbered"),
         F.min(F.when(real, F.col("turn"))).alias("first"),
         F.max(F.when(real, F.col("turn"))).alias("last"),
         F.sum("strange").alias("strange"),
-        F.sum(F.when(real & ~single, 1).otherwise(0)).alias("unpaired"),
+        total(asked, said).alias("places"),
+        # The constraints whose two ends are held: question before reply, reply before the next question.
+        total(asked & said, said & (F.col("following") > 0)).alias("constraints"),
         F.min(wait).alias("least_wait"),
         F.min(gap).alias("least_gap"),
         ((F.avg(wait) - F.coalesce(F.avg(gap), F.avg(wait))) / 2).cast("bigint").alias("fit"),
@@ -98,8 +109,9 @@ def assess_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
         .when(F.coalesce("turns", F.lit(0)) == 0, "empty")
         .when(F.col("strange") > 0, "unknown role")
         .when(F.col("unnumbered") > 0, "turn missing")
+        .when((F.col("first") == 1) & (F.col("places") == 2 * F.col("last")) & (F.col("constraints") == 2 * F.col("last") - 1), None)
         .when((F.col("first") != 1) | (F.col("last") != F.col("turns")), "gap in turns")
-        .when(F.col("unpaired") > 0, "reply missing or doubled")
+        .otherwise("reply missing or doubled")
     )
     return every.select(
         "session_id",
@@ -125,12 +137,15 @@ def rebuild_conversations(sessions: DataFrame, messages: DataFrame, *, with_syst
     stands in the last turn that was asked by then; turns below 1 open and
     turns beyond the last one close the conversation. Positions count them.
     """
-    kept = assess_sessions(sessions, messages).filter("reason is null").select("session_id", "offset_micros")
+    kept = assess_sessions(sessions, messages).filter("reason is null").select("session_id", "turns", "offset_micros")
     if with_system:
         kept = checkpointed(kept)
     said = clean_rows(messages).groupBy("session_id", "turn", "role").agg(F.min_by("text", "id").alias("content"), F.min("micros").alias("micros"), F.min("id").alias("id"))
     reply = F.col("role") == "assistant"
-    said = said.join(kept, "session_id").withColumn("micros", F.col("micros") - F.when(reply, F.col("offset_micros")).otherwise(0))
+    # A kept session has turns 1 to `turns`; each run of TURN_BLOCK of them meets its own copy of the session's row.
+    runs = kept.select("session_id", "offset_micros", F.explode(F.sequence(F.lit(0), F.floor(F.col("turns") / TURN_BLOCK).cast("int"))).alias("run"))
+    said = said.withColumn("run", F.floor(F.col("turn") / TURN_BLOCK).cast("int")).join(runs, ["session_id", "run"]).drop("run")
+    said = said.withColumn("micros", F.col("micros") - F.when(reply, F.col("offset_micros")).otherwise(0))
     columns = ("session_id", "position", "turn", "role", "content", F.timestamp_micros("micros").alias("corrected_at"))
     if not with_system:
         return said.withColumn("position", F.col("turn") * 2 - F.when(reply, 0).otherwise(1)).select(*columns)

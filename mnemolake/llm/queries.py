@@ -12,7 +12,7 @@ from .leakage import find_leaks
 from .names import link_names
 from .neighbours import nearest_vectors
 from .pii import redact_texts
-from .repetition import judge_repetition
+from .repetition import judge_repetition, repetitive
 from .splitting import split_texts
 from .tokens import encode_texts
 
@@ -98,12 +98,10 @@ def p8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which at least 0.3 of the words are repeated.
 
-    Candidates are the documents that weak supervision finds possibly
-    repetitive (a posterior of a half, or any vote for it); the exact share
-    decides. The share is itself a voter, so no case is lost.
+    Candidates are the documents that weak supervision holds for repetitive, or
+    cannot exclude; the exact share, which is no voter, then decides.
     """
-    judged = judge_repetition(_table(spark, sf_dir, "documents"))
-    return judged.filter((F.col("posterior") >= 0.5) | F.col("votes").contains("R")).filter("repeated_share >= 0.3").select("doc_id")
+    return repetitive(judge_repetition(_table(spark, sf_dir, "documents"))).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

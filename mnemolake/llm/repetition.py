@@ -5,6 +5,8 @@ votes *repetitive*, votes *clean*, or abstains. Expectation-maximisation over
 the counts of the vote patterns (at most 3**rules rows, whatever the corpus)
 estimates every rule's accuracy without labels, and a document gets the
 posterior probability of being repetitive instead of having to pass each rule.
+The exact share of repeated words is no voter: it is the check of what the
+posterior has chosen.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from .tokens import _quoted
 from .words import grams, lines, mix, text_segments, words
 
 PASSAGE_WORDS = 8
-MEASURES = ("repeated_share", "line_share", "block_share", "top_gram_share", "long_gram_share")
+MEASURES = ("repeated_share", "short_gram_share", "line_share", "block_share", "top_gram_share", "long_gram_share", "same_word_share")
+#: Share of the expected repetitive documents that the candidates may miss, by the estimate.
+MISS = 1e-4
 
 #: Rules: (measure, repetitive at or above, clean at or below, least words to vote).
 RULES = (
-    ("repeated_share", 0.30, 0.10, 8),
-    ("line_share", 0.40, 0.15, 8),
+    ("short_gram_share", 0.45, 0.25, 8),
+    ("line_share", 0.30, 0.10, 8),
     ("block_share", 0.20, 0.02, 8),
     ("top_gram_share", 0.15, 0.05, 12),
     ("long_gram_share", 0.15, 0.01, 16),
+    ("same_word_share", 0.70, 0.50, 20),
 )
 
 
@@ -93,10 +98,12 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "words": counts,
         "repeated_share": passage_share(h, doc, counts, PASSAGE_WORDS),
+        "short_gram_share": passage_share(h, doc, counts, PASSAGE_WORDS // 2),
         "line_share": np.bincount(ldoc[dup], size[dup], minlength=rows) / total,
         "block_share": np.bincount(ldoc[in_block], size[in_block], minlength=rows) / total,
         "top_gram_share": top_share(h, doc, counts, 3),
         "long_gram_share": passage_share(h, doc, counts, 2 * PASSAGE_WORDS),
+        "same_word_share": np.bincount(doc[repeats(h, doc)], minlength=rows) / np.maximum(counts, 1),
     }
 
 
@@ -157,16 +164,36 @@ def estimate(patterns: dict[str, int], rounds: int = 200, tolerance: float = 1e-
     return float(prior), rate, dict(zip(keys, post.tolist()))
 
 
-def judge_repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words, measures..., votes, posterior) of every row.
+def chosen(patterns: dict[str, int], posterior: dict[str, float], miss: float = MISS) -> set[str]:
+    """The vote patterns of candidates: those of a posterior of a half or more, and of the rest the likeliest until
+    the expected repetitive documents among those left out are at most `miss` of all."""
+    expected = {p: n * posterior[p] for p, n in patterns.items()}
+    allowed, out = miss * sum(expected.values()), set()
+    for p in sorted(patterns, key=lambda p: (posterior[p], p)):
+        if posterior[p] < 0.5 and expected[p] <= allowed:
+            allowed -= expected[p]
+            out.add(p)
+        else:
+            allowed = -1.0  # all patterns from here on are candidates
+    return set(patterns) - out
 
-    `posterior` is the estimated probability that the document is repetitive.
-    The measures (a few numbers a document) are written once to the checkpoint
-    folder, so the texts are scanned once. One output row per input row.
+
+def judge_repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, miss: float = MISS) -> DataFrame:
+    """(id, words, measures..., votes, posterior, candidate) of every row.
+
+    `posterior` is the estimated probability that the document is repetitive,
+    `candidate` whether it is to be checked (see `chosen`). The measures (a few
+    numbers a document) are written once to the checkpoint folder, so the texts
+    are scanned once. One output row per input row.
     """
     measured = checkpointed(with_votes(measure_repetition(df, id_col, text_col)))
     counts = {r["votes"]: r["count"] for r in measured.groupBy("votes").count().collect()}  # at most 3**len(RULES) rows
     _, _, posterior = estimate(counts)
-    spark = df.sparkSession
-    table = spark.createDataFrame(sorted(posterior.items()), "votes string, posterior double")
-    return measured.join(F.broadcast(table), "votes").select(F.col(_quoted(id_col)), "words", *MEASURES, "votes", "posterior")
+    picked = chosen(counts, posterior, miss)
+    table = df.sparkSession.createDataFrame([(p, x, p in picked) for p, x in sorted(posterior.items())], "votes string, posterior double, candidate boolean")
+    return measured.join(F.broadcast(table), "votes").select(F.col(_quoted(id_col)), "words", *MEASURES, "votes", "posterior", "candidate")
+
+
+def repetitive(judged: DataFrame, share: float = 0.3) -> DataFrame:
+    """The candidates whose exact share of repeated words reaches `share`."""
+    return judged.filter("candidate").filter(F.col("repeated_share") >= share)

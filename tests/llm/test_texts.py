@@ -144,6 +144,27 @@ def test_system_rows_of_conversations(spark, monkeypatch):
         assert [r["turn"] for r in got if r["role"] == "system"] == [0, 1, 2, None, None, 2, 7, 1]
 
 
+def test_clock_offset_places_system_rows(spark, monkeypatch):
+    """The assistant's clock is 80 seconds late: only with the estimated offset does the system row stand behind the reply."""
+    t = dt.datetime(2024, 1, 1)
+    s = dt.timedelta(seconds=1)
+    rows = []
+    for turn in (1, 2, 3):
+        rows += [(10 * turn, 1, turn, "user", f"q{turn}", t + 100 * turn * s), (10 * turn + 1, 1, turn, "assistant", f"r{turn}", t + (100 * turn + 40 + 80) * s)]
+    rows.append((5, 1, 2, "system", "note", t + 270 * s))
+    m = spark.createDataFrame(rows, "id bigint, session_id bigint, turn int, role string, content string, created_at timestamp_ntz")
+    ids = spark.createDataFrame([(1,)], "id bigint")
+
+    def order():
+        return [r["content"] for r in rebuild_conversations(ids, m, with_system=True).orderBy("position").collect()]
+
+    monkeypatch.setattr(conversations, "TURN_BLOCK", 2)
+    assert order() == ["q1", "r1", "q2", "r2", "note", "q3", "r3"]
+    plain = conversations.assess_sessions
+    monkeypatch.setattr(conversations, "assess_sessions", lambda *a: plain(*a).withColumn("offset_micros", F.lit(0)))
+    assert order() == ["q1", "r1", "q2", "note", "r2", "q3", "r3"]
+
+
 # --- encoding ---------------------------------------------------------------------------
 
 
@@ -264,6 +285,24 @@ def test_repetition_equals_brute_force(spark):
     assert rows[7]["posterior"] > 0.5 and repetition.judge_repetition(df.limit(0)).count() == 0
 
 
+def test_posterior_chooses_candidates(spark):
+    """Without the estimate other documents are checked; with it no repetitive one of the table is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = repetition.judge_repetition(docs).collect()
+    repeated = {r["doc_id"] for r in rows if r["repeated_share"] >= 0.3}
+    candidates = {r["doc_id"] for r in rows if r["candidate"]}
+    assert repeated and repeated <= candidates
+    assert len(candidates) < 0.2 * len(rows)
+    split = {r["doc_id"] for r in rows if "R" in r["votes"]}  # one vote would choose others
+    assert candidates != split
+    # A voter's word alone counts for little where the estimate gives it little weight.
+    counts = {"CCCC": 900, "RRRR": 60, "RRRC": 20, "CCCR": 20}
+    _, _, post = repetition.estimate(counts)
+    assert repetition.chosen(counts, post) >= {"RRRR", "RRRC"} and "CCCC" not in repetition.chosen(counts, post)
+    assert "CCCR" not in repetition.chosen(counts, post, 0.05)
+    assert repetition.chosen({}, {}) == set()
+
+
 def test_estimated_accuracies():
     rng = random.Random(1)
     counts = collections.Counter()
