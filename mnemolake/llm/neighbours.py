@@ -3,12 +3,17 @@
 Unit vectors are projected onto m random Gaussian directions (a 2-stable
 projection: a pair at distance d is a projected distance of d * chi(m) apart).
 A kd-tree over the first levels of projected space, fitted on a bounded sample,
-assigns every vector to a cell. In its own cell, a query's projected neighbours
-are verified by their true cosine in growing radii until the chi-square test
-says that no closer neighbour is left with the chosen probability. The distance
-of the k-th best found there bounds the true one: by it, and the normal law of
-each split coordinate, the query visits the other cells in which its neighbours
-may lie, and is searched there within the radius that the test asks for it.
+assigns every vector to a cell, which is a kd-tree of its own. In it a query's
+projected neighbours are verified by their true cosine, leaf by leaf in the
+order of their projected distance, until the chi-square test says that no closer
+neighbour is left with the chosen probability. The distance of the k-th best
+found at home bounds the true one: by it, and the normal law of each split
+coordinate, the query visits the other cells in which its neighbours may lie,
+and goes on there from that distance until the test holds again.
+
+Verification is one product of a few hundred queries with a few leaves in single
+precision, whose rounding error is far below MARGIN; what comes within it of the
+k best is computed again in double precision.
 
 Equal vectors are one class: only the k + 1 smallest ids of a class can be
 among the answers, so copies cost nothing however many there are.
@@ -29,14 +34,12 @@ from .tokens import _quoted
 
 #: Rows of one cell, on average; a cell is searched by one task.
 CELL_ROWS = 16_384
-#: The sample on which the splits are fitted, and the one on which distances are measured, per group.
-SPLIT_SAMPLE, DISTANCE_SAMPLE = 20_000, 64
+#: The sample on which the splits of a group are fitted: rows for each wanted cell, at least and at most so many rows.
+CELL_SAMPLE, LEAST_SAMPLE, SPLIT_SAMPLE = 32, 20_000, 1_000_000
 #: Probability of the chi-square stopping test, and share of the neighbours that visited cells should hold.
 STOP_PROBABILITY, VISIT_PROBABILITY = 0.985, 0.985
-#: Share of a chunk's pairs within their radii from which all of them are compared.
-DENSE = 0.02
-#: Least squared distance that is told from 0 in float32 projections.
-LEAST_SQUARE = 1e-6
+#: Least squared distance that is told from 0 in float32 projections, and by how much a float32 cosine may be off.
+LEAST_SQUARE, MARGIN = 1e-6, 4e-6
 _SEED = 20_240_601
 
 
@@ -64,7 +67,7 @@ class CellTree:
     def __init__(self, sample: np.ndarray, rows: int, cell_rows: int):
         m = sample.shape[1]
         wanted = max(0, math.ceil(math.log2(max(1.0, rows / cell_rows))))
-        self.depth = min(wanted, max(0, int(math.log2(max(1, len(sample) // 32)))))
+        self.depth = min(wanted, max(0, int(math.log2(max(1, len(sample) // CELL_SAMPLE)))))
         self.dims = np.zeros(max(1, 2**self.depth - 1), np.int64)
         self.cuts = np.zeros(max(1, 2**self.depth - 1), np.float32)
         parts = {0: sample}
@@ -111,56 +114,75 @@ def unit_rows(lists: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search_block(x: np.ndarray, q: np.ndarray, px: np.ndarray, pq: np.ndarray, k: int, first: np.ndarray, sure: float, stop: float, grow: bool, chunk: int = 256, leaf: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, cosine) of verified candidates that include each query's k best of this block.
-
-    `first` has each query's squared projected radius. If they `grow`, a query
-    goes on until the test holds for its k-th best here, or it has seen all
-    rows; with fewer than k candidates it goes on, to `sure` at least.
-    """
-    order = _leaf_order(px, leaf)
-    x, px = x[order], px[order]
-    bounds = np.arange(0, len(x), leaf)
-    low = np.stack([px[s : s + leaf].min(0) for s in bounds])
-    high = np.stack([px[s : s + leaf].max(0) for s in bounds])
-    table = np.concatenate([px, (px * px).sum(1, keepdims=True), np.ones((len(px), 1), px.dtype)], 1)
-    out_q, out_x, out_s = [], [], []
-    turn = np.lexsort([np.sign(pq[:, j]) for j in range(min(4, pq.shape[1]))])
-    for at in range(0, len(q), chunk):
-        todo = turn[at : at + chunk]
-        r2 = first[todo]
-        while len(todo):
-            p = pq[todo]
-            gap = np.maximum(np.maximum(low[None] - p[:, None], p[:, None] - high[None]), 0)
-            near = ((gap * gap).sum(2) <= r2[:, None]).any(0)
-            cols = np.concatenate([np.arange(s, min(s + leaf, len(x))) for s in bounds[near]]) if near.any() else np.zeros(0, np.int64)
-            ask = np.concatenate([-2 * p, np.ones((len(p), 1), p.dtype), ((p * p).sum(1) - r2)[:, None].astype(p.dtype)], 1)
-            inside = ask @ (table if len(cols) == len(x) else table[cols]).T <= 0  # squared distances less radii
-            have = inside.sum(1)
-            enough = have >= k
-            kth = np.full(len(todo), -1.0)
-            if inside.sum() > DENSE * inside.size and len(cols) >= k:  # all cosines at once take less than those of many single pairs
-                every = np.where(inside, np.round(q[todo] @ x[cols].T, 12), -9.0)
-                kth[enough] = -np.partition(-every, k - 1, axis=1)[enough, k - 1]
-                i, j = np.nonzero(inside & (every >= kth[:, None]))
-                s, j = every[i, j], cols[j]
-            else:
-                i, j = np.divmod(np.flatnonzero(inside), max(1, len(cols)))
-                j = cols[j]
-                s = np.round(np.einsum("ij,ij->i", q[todo[i]], x[j]), 12)
-                # the k-th best of each query
-                rank = np.lexsort((-s, i))
-                begin = np.searchsorted(i, np.arange(len(todo)))
-                kth[enough] = s[rank][begin[enough] + k - 1]
-            need = np.where(enough, stop * np.maximum(2 - 2 * kth, LEAST_SQUARE), np.maximum(r2 * 2, sure))
-            again = grow & (need > r2 * (1 + 1e-4)) & ~((have >= len(x)) | (r2 >= 1e4))
-            done = ~again[i] & (s >= kth[i])
-            out_q.append(todo[i[done]])
-            out_x.append(order[j[done]])
-            out_s.append(s[done])
-            todo, r2 = todo[again], need[again]
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return cat(out_q, np.int64), cat(out_x, np.int64), cat(out_s, np.float64)
+class Block:
+    """The rows of a cell in kd-tree leaves of projected space."""
+
+    def __init__(self, x: np.ndarray, px: np.ndarray, leaf: int = 256):
+        self.order = _leaf_order(px, leaf)
+        self.x, px = x[self.order], px[self.order]
+        self.single = self.x.astype(np.float32)
+        self.starts = np.arange(0, len(x), leaf)
+        self.ends = np.minimum(self.starts + leaf, len(x))
+        self.low = np.stack([px[s:e].min(0) for s, e in zip(self.starts, self.ends)])
+        self.high = np.stack([px[s:e].max(0) for s, e in zip(self.starts, self.ends)])
+
+    def search(self, q: np.ndarray, pq: np.ndarray, k: int, stop: float, known: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, cosine) of verified candidates that include each query's k best here above its `known` similarity.
+
+        `known` is the k-th best similarity that a query has elsewhere, -1 if none.
+        A query takes leaves, the nearest in projected space first, until the
+        projected distance of the next one passes the test for its k-th best.
+        """
+        found: tuple[list, list, list] = ([], [], [])
+        turn = _leaf_order(pq, chunk)
+        for at in range(0, len(q), chunk):
+            some = turn[at : at + chunk]
+            for part, out in zip(self._search_some(q[some], pq[some], k, stop, known[some]), found):
+                out.append(part if out is not found[0] else some[part])
+        return tuple(np.concatenate(f) if f else np.zeros(0, kind) for f, kind in zip(found, (np.int64, np.int64, np.float64)))
+
+    def _search_some(self, q: np.ndarray, p: np.ndarray, k: int, stop: float, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        single = q.astype(np.float32)
+        gap = np.maximum(np.maximum(self.low[None] - p[:, None], p[:, None] - self.high[None]), 0)
+        bound = np.einsum("ijk,ijk->ij", gap, gap)  # of each query's squared projected distance to a leaf's rows
+        kth, todo, taken = known.copy(), np.ones(len(bound[0]), bool), 0
+        i = j = np.zeros(0, np.int64)
+        s = np.zeros(0, np.float32)
+        active = np.arange(len(q))
+        while True:
+            radius = stop * np.maximum(2 - 2 * kth[active], LEAST_SQUARE)
+            open_ = (bound[active] <= radius[:, None]) & todo
+            keep = open_.any(1)
+            active = active[keep]
+            if not len(active):
+                break
+            wanted = np.flatnonzero(open_[keep].any(0))
+            wanted = wanted[np.argsort(bound[np.ix_(active, wanted)].min(0), kind="stable")][: max(4, taken)]  # doubles what was taken
+            todo[wanted] = False
+            taken += len(wanted)
+            cols = np.concatenate([np.arange(a, b) for a, b in zip(self.starts[wanted], self.ends[wanted])])
+            cosines = single[active] @ self.single[cols].T
+            floor = kth[active]
+            if len(cols) >= k and (floor <= -1).any():
+                floor = np.maximum(floor, np.partition(cosines, len(cols) - k, axis=1)[:, len(cols) - k])
+            a, b = np.divmod(np.flatnonzero(cosines >= (floor - MARGIN).astype(np.float32)[:, None]), len(cols))
+            i, j, s = np.r_[i, active[a]], np.r_[j, cols[b]], np.r_[s, cosines[a, b]]
+            rank = np.lexsort((-s, i))
+            i, j, s = i[rank], j[rank], s[rank]
+            first = np.searchsorted(i, np.arange(len(q) + 1))
+            full = np.flatnonzero(np.diff(first) >= k)
+            kth[full] = np.maximum(kth[full], s[first[full] + k - 1])
+            near = s >= kth[i] - MARGIN
+            i, j, s = i[near], j[near], s[near]
+        exact = np.round(np.einsum("ij,ij->i", q[i], self.x[j]), 12)
+        rank = np.lexsort((-exact, i))
+        i, j, exact = i[rank], j[rank], exact[rank]
+        first = np.searchsorted(i, np.arange(len(q) + 1))
+        full = np.flatnonzero(np.diff(first) >= k)
+        least = known.copy()
+        least[full] = np.maximum(least[full], exact[first[full] + k - 1])
+        near = exact >= least[i]
+        return i[near], self.order[j[near]], exact[near]
 
 
 def _leaf_order(p: np.ndarray, leaf: int) -> np.ndarray:
@@ -205,39 +227,29 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     sizes = {r["grp"]: r["count"] for r in rows.groupBy("grp").count().collect()}
     if not sizes:
         return spark.createDataFrame([], "id bigint, neighbour bigint, rank int, similarity double")
-    trees, scales, offset = {}, {}, 0
-    pick, probe = F.lit(False), F.lit(False)
+    pick = F.lit(False)
     for g, n in sizes.items():
-        step = max(1, n // SPLIT_SAMPLE)
-        own = F.col("grp") == g
-        pick = pick | (own & (F.pmod(F.xxhash64("id"), F.lit(step)) == 0))
-        probe = probe | (own & (F.pmod(F.xxhash64(F.lit("probe"), "id"), F.lit(max(1, n // step // (4 * DISTANCE_SAMPLE)))) == 0))
+        step = max(1, n // min(SPLIT_SAMPLE, max(LEAST_SAMPLE, CELL_SAMPLE * n // cell_rows)))
+        pick = pick | ((F.col("grp") == g) & (F.pmod(F.xxhash64("id"), F.lit(step)) == 0))
     ms = {g: projections_needed(n) for g, n in sizes.items()}
-    held = rows.filter(pick).select("grp", "vec", probe.alias("probe")).mapInArrow(_sampler(dim, ms), "grp string, p binary, x binary").collect()
-    sampled, near = {g: [] for g in sizes}, {g: [] for g in sizes}
-    for r in held:  # at most about 2 * SPLIT_SAMPLE projections and 8 * DISTANCE_SAMPLE vectors a group
+    sampled: dict[str, list[bytes]] = {g: [] for g in sizes}
+    for r in rows.filter(pick).select("grp", "vec").mapInArrow(_sampler(dim, ms), "grp string, p binary").collect():  # at most about 2 * SPLIT_SAMPLE projections a group
         sampled[r["grp"]].append(r["p"])
-        if r["x"] is not None:
-            near[r["grp"]].append(r["x"])
-    rng = np.random.default_rng(_SEED)
-    probes = {}
+    trees, blocks = {}, 0
     for g, n in sizes.items():
-        trees[g] = (ms[g], CellTree(np.frombuffer(b"".join(sampled[g]), np.float32).reshape(-1, ms[g]), n, cell_rows), offset)
-        offset += int(trees[g][1].first[-1])
-        x = np.frombuffer(b"".join(near[g]), np.float32).reshape(-1, dim)
-        probes[g] = x[rng.permutation(len(x))[:DISTANCE_SAMPLE]]
-    measured = rows.select("grp", "vec").mapInArrow(_distance_scan(dim, probes, k), "grp string, probe int, best array<double>")
-    kth = measured.groupBy("grp", "probe").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k + 1).alias("best"))
-    for g in sizes:
-        scales[g] = 0.5
-    for r in kth.groupBy("grp").agg(F.percentile(F.element_at("best", -1), 0.05).alias("sure"), F.percentile(F.element_at("best", -1), 0.4).alias("usual")).collect():
-        scales[r["grp"]] = (math.sqrt(max(1e-6, 2 - 2 * r["usual"])), math.sqrt(max(1e-6, 2 - 2 * r["sure"])))
-    scales = {g: v if isinstance(v, tuple) else (v, v) for g, v in scales.items()}
-    routed = map_batches(rows, _router(dim, trees, k), "block bigint, id bigint, h1 bigint, h2 bigint, grp string, x binary")
+        tree = CellTree(np.frombuffer(b"".join(sampled[g]), np.float32).reshape(-1, ms[g]), n, cell_rows)
+        trees[g] = (ms[g], tree, blocks)
+        blocks += int(tree.first[-1])
+    sent = spark.sparkContext.broadcast(trees)  # a few numbers a cell; the sample bounds the cells
+    # A set number of partitions: the work of a block is not its size, by which they would be merged.
+    parts = min(2 * blocks, 16_384)
+    routed = map_batches(rows, _router(dim, sent, k), "block bigint, id bigint, h1 bigint, h2 bigint, grp string, x binary").repartition(parts, "block")
     answer = "found array<struct<s: double, id: bigint>>"
-    classes = routed.groupBy("block").applyInArrow(_home_searcher(dim, trees, scales, k, stop), f"block bigint, h1 bigint, h2 bigint, grp string, x binary, reach double, ids array<bigint>, {answer}")
-    visiting = map_batches(classes, _visitors(dim, trees, visit), f"block bigint, own boolean, h1 bigint, h2 bigint, grp string, x binary, reach double, ids array<bigint>, {answer}")
-    found = visiting.groupBy("block").applyInArrow(_visit_searcher(dim, trees, k, stop), schema)
+    classes = routed.groupBy("block").applyInArrow(_home_searcher(dim, sent, k, stop), f"block bigint, h1 bigint, h2 bigint, grp string, x binary, reach double, ids array<bigint>, {answer}")
+    visiting = map_batches(classes, _visitors(dim, sent, visit), f"block bigint, own boolean, h1 bigint, h2 bigint, grp string, x binary, reach double, ids array<bigint>, {answer}")
+    # The rows of a block come first, then its visitors pass by in batches, however many they are.
+    streams = visiting.repartition(parts, "block").sortWithinPartitions("block", F.col("own").desc())
+    found = map_batches(streams, _visit_searcher(dim, sent, k, stop), schema)
     best = found.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("best"))
     each = rows.select("id", "h1", "h2").join(best, ["h1", "h2"])
     ranked = each.select("id", F.posexplode(F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)).alias("at", "b"))
@@ -245,41 +257,14 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
 
 
 def _sampler(dim: int, ms: dict[str, int]):
-    """Projections of the sampled rows, and the unit vectors of those marked as probes."""
+    """Projections of the sampled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit_rows(batch.column(1), dim).astype(np.float32)
-            names, marked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            names = batch.column(0).to_pylist()
             planes = {g: directions(dim, ms[g]) for g in set(names)}
-            p = [(v @ planes[g]).tobytes() for v, g in zip(x, names)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.binary()), pa.array([v.tobytes() if m else None for v, m in zip(x, marked)], pa.binary())], ["grp", "p", "x"])
-
-    return run
-
-
-def _distance_scan(dim: int, probes: dict[str, np.ndarray], k: int):
-    """Per task, the k + 1 best similarities of each probe (itself among them)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {g: np.full((len(p), k + 1), -2.0) for g, p in probes.items()}
-        for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
-            x = unit_rows(batch.column(1), dim).astype(np.float32)
-            for g, p in probes.items():
-                mine = x[names == g]
-                if len(mine) and len(p):
-                    s = p @ mine.T
-                    if s.shape[1] > k + 1:
-                        s = -np.partition(-s, k, axis=1)[:, : k + 1]
-                    best[g] = -np.sort(-np.concatenate([best[g], s], 1), axis=1)[:, : k + 1]
-        g_out, p_out, b_out = [], [], []
-        for g, b in best.items():
-            for i, row in enumerate(b):
-                g_out.append(g)
-                p_out.append(i)
-                b_out.append([float(v) for v in row if v > -1.5])
-        yield pa.RecordBatch.from_arrays([pa.array(g_out, pa.string()), pa.array(p_out, pa.int32()), pa.array(b_out, pa.list_(pa.float64()))], ["grp", "probe", "best"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(v @ planes[g]).tobytes() for v, g in zip(x, names)], pa.binary())], ["grp", "p"])
 
     return run
 
@@ -289,7 +274,7 @@ def _home(tree: CellTree, p: np.ndarray, h1: np.ndarray) -> np.ndarray:
     return tree.first[cell] + (h1.view(np.uint64) % tree.blocks[cell].astype(np.uint64)).astype(np.int64)
 
 
-def _router(dim: int, trees: dict, k: int):
+def _router(dim: int, sent, k: int):
     """Rows for their own block; of equal vectors the k + 1 smallest ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +299,7 @@ def _router(dim: int, trees: dict, k: int):
             raw = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
             unit = (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
             block = np.zeros(len(at), np.int64)
-            for g, (m, tree, offset) in trees.items():
+            for g, (m, tree, offset) in sent.value.items():
                 mine = np.flatnonzero(names[at] == g)
                 if len(mine):
                     block[mine] = offset + _home(tree, unit[mine] @ directions(dim, m), h1[at[mine]])
@@ -348,14 +333,12 @@ def _best_ids(q: np.ndarray, x: np.ndarray, s: np.ndarray, begin: np.ndarray, co
     return queries, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(-ss), pa.array(cand)], names=["s", "id"])), reach
 
 
-def _home_searcher(dim: int, trees: dict, scales: dict, k: int, stop_probability: float):
+def _home_searcher(dim: int, sent, k: int, stop_probability: float):
     """Classes of equal vectors of a block, with their best ids in it and the distance within which better ones may lie."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        name = table.column("grp")[0].as_py()
-        m = trees[name][0]
-        usual, sure = scales[name]
+        m = sent.value[table.column("grp")[0].as_py()][0]
         ids, h1, h2 = (table.column(c).to_numpy() for c in ("id", "h1", "h2"))
         order = np.lexsort((ids, h2, h1))
         begin = np.flatnonzero(np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
@@ -363,8 +346,7 @@ def _home_searcher(dim: int, trees: dict, scales: dict, k: int, stop_probability
         lead = pa.array(order[begin])
         unit = _vectors(table.column("x").take(lead), dim)
         p = unit.astype(np.float32) @ directions(dim, m)
-        stop = chi_square_quantile(stop_probability, m)
-        q, x, s = search_block(unit, unit, p, p, k + 1, np.full(len(unit), stop * usual**2), stop * sure**2, stop, True)
+        q, x, s = Block(unit, p).search(unit, p, k + 1, chi_square_quantile(stop_probability, m), np.full(len(unit), -1.0))
         queries, found, reach = _best_ids(q, x, s, begin, count, ids[order], k)
         members = [ids[order[b : b + n]] for b, n in zip(begin[queries], count[queries])]
         pick = pa.array(order[begin[queries]])
@@ -373,7 +355,7 @@ def _home_searcher(dim: int, trees: dict, scales: dict, k: int, stop_probability
     return run
 
 
-def _visitors(dim: int, trees: dict, visit: float):
+def _visitors(dim: int, sent, visit: float):
     """The classes of each block, and again as visitors of other blocks, each by its own reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +366,7 @@ def _visitors(dim: int, trees: dict, visit: float):
             names = np.array(batch.column(3).to_pylist(), object)
             unit = _vectors(batch.column(4), dim).astype(np.float32)
             block, source = [], []
-            for g, (m, tree, offset) in trees.items():
+            for g, (m, tree, offset) in sent.value.items():
                 mine = np.flatnonzero(names == g)
                 if not len(mine):
                     continue
@@ -407,28 +389,38 @@ def _visitors(dim: int, trees: dict, visit: float):
 _VISIT = ["block", "own", "h1", "h2", "grp", "x", "reach", "ids", "found"]
 
 
-def _visit_searcher(dim: int, trees: dict, k: int, stop_probability: float):
-    """What the classes of a block found at home, and what its visitors find in it."""
+def _visit_searcher(dim: int, sent, k: int, stop_probability: float):
+    """What the classes of each block found at home, and what its visitors find in it; rows come by block, its own first."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        own = table.column("own").to_numpy()
-        home, away = np.flatnonzero(own), np.flatnonzero(~own)
-        said = table.take(pa.array(home)).select(["h1", "h2", "found"]).combine_chunks()
-        if not len(home) or not len(away):
-            return said
-        m = trees[table.column("grp")[0].as_py()][0]
-        unit = _vectors(table.column("x"), dim)
-        p = unit.astype(np.float32) @ directions(dim, m)
-        stop = chi_square_quantile(stop_probability, m)
-        q, x, s = search_block(unit[home], unit[away], p[home], p[away], k + 1, stop * table.column("reach").to_numpy()[away] ** 2, 0.0, stop, False)
-        if not len(q):
-            return said
-        members = table.column("ids").take(pa.array(home)).to_pylist()
-        count = np.array([len(v) for v in members])
-        queries, found, _ = _best_ids(q, x, s, np.cumsum(count) - count, count, np.concatenate([np.array(v, np.int64) for v in members]), k)
-        pick = pa.array(away[queries])
-        more = pa.Table.from_arrays([table.column("h1").take(pick), table.column("h2").take(pick), found.cast(said.schema.field("found").type)], ["h1", "h2", "found"])
-        return pa.concat_tables([said, more.cast(said.schema)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own_rows, block, members = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (own[1:] != own[:-1])])
+            for start, end in zip(cuts, np.r_[cuts[1:], len(where)]):
+                part = batch.slice(start, end - start)
+                if where[start] != at:
+                    at, own_rows, block = where[start], [], None
+                if own[start]:
+                    own_rows.append(part)
+                    yield part.select(["h1", "h2", "found"])
+                elif own_rows:
+                    m = sent.value[part.column(4)[0].as_py()][0]
+                    if block is None:
+                        home = pa.Table.from_batches(own_rows).combine_chunks()
+                        unit = _vectors(home.column("x"), dim)
+                        block = Block(unit, unit.astype(np.float32) @ directions(dim, m))
+                        lists = home.column("ids").combine_chunks()
+                        members = lists.flatten().to_numpy(), np.asarray(lists.value_lengths())
+                    unit = _vectors(part.column(5), dim)
+                    reach = part.column(6).to_numpy()
+                    q, x, s = block.search(unit, unit.astype(np.float32) @ directions(dim, m), k + 1, chi_square_quantile(stop_probability, m), 1 - reach * reach / 2 - 1e-12)
+                    if len(q):
+                        ids, count = members
+                        queries, found, _ = _best_ids(q, x, s, np.cumsum(count) - count, count, ids, k)
+                        pick = pa.array(queries)
+                        yield pa.RecordBatch.from_arrays([part.column(2).take(pick), part.column(3).take(pick), found], ["h1", "h2", "found"])
 
     return run
