@@ -37,8 +37,24 @@ _AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?", re.I)
 _SPOKEN = re.compile(r"(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+\b)", re.I)
 _SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
-_SPELLED = re.compile(rf"(?<!\w)(?:{'|'.join(_DIGITS)})(?:[ -](?:{'|'.join(_DIGITS)})){{5,}}(?!\w)", re.I)
-_HINT = re.compile(r"[\[({<]\s?(?:at|dot|@)\s?[\])}>]| dot |[​‌⁠﻿­]|(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)[ -](?:zero|one|two|three|four|five|six|seven|eight|nine|oh)[ -]", re.I)
+_TIMES = {"double": 2, "triple": 3}
+_SPOKEN_DIGIT = rf"(?:(?:{'|'.join(_TIMES)})[ -])?(?:{'|'.join(_DIGITS)})"
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[ -])?{_SPOKEN_DIGIT}(?:(?:[ -]|, ?){_SPOKEN_DIGIT}){{3,}}(?!\w)", re.I)
+_HINT = re.compile(rf"[\[({{<]\s?(?:at|dot|@)\s?[\])}}>]| dot |[\u200b\u200c\u2060\ufeff\u00ad]|(?:{'|'.join(_DIGITS)})(?:[ -]|, ?){_SPOKEN_DIGIT}", re.I)
+
+
+def _spoken_digits(m: re.Match) -> str:
+    """The digits of a spelled number, with a dash for each comma; unchanged if they are fewer than six."""
+    out = []
+    times = 1
+    for word in re.findall(r"[a-z]+|,", m[0].lower()):
+        if word in _TIMES:
+            times = _TIMES[word]
+        else:
+            out.append("-" if word == "," else "+" if word == "plus" else _DIGITS[word] * times)
+            times = 1
+    digits = "".join(out)
+    return digits if sum(c.isdigit() for c in digits) >= 6 else m[0]
 
 
 class Normalised:
@@ -56,7 +72,7 @@ class Normalised:
         if self.text != before:
             self._rewrite(_DOT, lambda m: ".")
             self._rewrite(_SPOKEN_DOT, lambda m: ".")
-        self._rewrite(_SPELLED, lambda m: "".join(_DIGITS[w.lower()] for w in re.split("[ -]", m[0])))
+        self._rewrite(_SPELLED, _spoken_digits)
 
     def _rewrite(self, pattern: re.Pattern, out) -> None:
         pieces, starts, shifts, widths, at, length = [], [], [], [], 0, 0
@@ -94,6 +110,8 @@ class Normalised:
 # --- detectors -------------------------------------------------------------
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*(?: @ |@)[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])")
+#: The same with a domain in other scripts, whose labels may hold any letters.
+_EMAIL_ABROAD = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?=[A-Za-z0-9.\-]*[^\W\d_a-zA-Z])[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,}(?!\w)")
 _BEFORE, _AFTER = r"(?<![\w#@/+\-])(?<!\d\.)", r"(?![\w@/\-]|\.\d)"
 _ID = re.compile(
     _BEFORE
@@ -105,7 +123,7 @@ _ID = re.compile(
     + r"|\d{6}-\d{4}-\d|\d{2,3}/\d{3}/\d{4,5})"
     + _AFTER
 )
-_ID_CUE = re.compile(r"(?:social security|national (?:id|identity|insurance)|passport|tax|insurance|driver'?s? licen[cs]e|identity|\bid)(?: card)?(?: (?:number|no\.?|id))?(?: (?:on the form|you gave me))?(?: (?:is|was)|:)? ((?=[A-Za-z0-9]*[ /\-]?[A-Za-z0-9]*\d)[A-Za-z0-9](?:[A-Za-z0-9]|[ /\-](?=[A-Za-z]?\d)){6,18})(?![\w@/\-])", re.I)
+_ID_CUE = re.compile(r"(?:social security|ssn|national (?:id|identity|insurance)|passport|tax|insurance|driver'?s? licen[cs]e|identity|\bid)(?: card)?(?: (?:number|no\.?|id))?(?: (?:on the form|you gave me))?(?: (?:is|was)|:)? ((?=[A-Za-z0-9]*[ /\-]?[A-Za-z0-9]*\d)[A-Za-z0-9](?:[A-Za-z0-9]|[ /\-](?=[A-Za-z]?\d)){6,18})(?![\w@/\-])", re.I)
 _PHONE = re.compile(
     r"(?<![\w#@/.\-+(])(?:"
     r"(?:\+|00)[1-9]\d{0,2}[ .\-]?(?:\(0\) ?)?(?:\(?\d{1,5}\)?[ .\-]?)(?:\d{2,8}[ .\-]?){0,5}\d{2,8}"
@@ -132,18 +150,25 @@ _STRASSE = re.compile(rf"(?<!\w){_LETTER}[\w\-]*(?:straße|strasse|str\.|weg|gas
 _WORD = re.compile(rf"{_LETTER}(?:[̀-ͯ]|{_LETTER})*(?:['’\-]{_LETTER}(?:[̀-ͯ]|{_LETTER})*)*")
 _LAST = rf"{_LETTER}(?:[̀-ͯ'’]|{_LETTER}){{2,}}(?:-{_LETTER}+)?"
 _NEXT = re.compile(rf"[ \t]((?:{_LETTER}\.?[ \t])?)({_LAST})(?![\w@])")
-_PREVIOUS = re.compile(rf"(?<![\w@.\-+/#])({_LAST})(,?)[ \t]$")
+_LAST_ONLY = re.compile(_LAST)
 _TITLED = re.compile(rf"(?<![\w@])({'|'.join(TITLES)})(?:\.[ \t]?|[ \t])((?:{_LETTER}\.?[ \t])?)({_LAST})((?:[ \t]{_LAST})?)(?![\w@])", re.I)
 _INITIAL = re.compile(rf"(?<![\w@.&'’\-])([^\W\d_a-z])\.[ \t]?((?:[^\W\d_a-z]\.[ \t]?)?)({_LAST})(?![\w@])")
 _INITIAL_AFTER = re.compile(rf"(?<![\w@.\-+/#])({_LAST}),[ \t]([^\W\d_a-z])\.(?!\w)")
-_INITIAL_LAST = re.compile(rf"(?<![\w@.\-+/#])({_LAST})[ \t]([^\W\d_a-z])\.?(?=[ \t\n,.;:!?)]|$)")
+# Words beside which a person's name stands: it is then recognised by its shape, whatever its words (fixed values).
+_ADDRESSED = "ask|asked|call|called|meet|met|contact|contacted|email|emailed|phone|phoned|tell|told|thank|thanked|visit|visited|invite|invited|name is|i am|i'm|regards|sincerely|colleague|friend|boss|manager|neighbour|neighbor|doctor|sister|brother|mother|father|wife|husband|daughter|son"
+_ACTING = "called|said|says|wrote|writes|asked|asks|replied|told|emailed|phoned|lives|joined|moved|thinks|wants|agreed"
+_SHAPED = rf"({_LETTER}(?:['’]|{_LETTER})+(?:-{_LETTER}+)?)"
+_NAMED_AFTER = re.compile(rf"(?<!\w)(?:{_ADDRESSED}),?[ \t\n]{{1,2}}{_SHAPED}(?:[ \t]{_LETTER}\.?)?[ \t]{_SHAPED}(?![\w@/]|\.\w|-\d)", re.I)
+_NAMED_BEFORE = re.compile(rf"(?<![\w@.\-+/#]){_SHAPED}(?:[ \t]{_LETTER}\.?)?[ \t]{_SHAPED}[ \t](?:{_ACTING})(?!\w)")
+_THEN = re.compile(rf"[ \t]{_SHAPED}")
 
 _STREET_WORDS = frozenset("street st avenue ave road rd lane ln close boulevard blvd square sq drive court ct place terrace crescent highway hwy parkway quay".split())
 _FOREIGN_STREETS = frozenset("rue avenue boulevard place allée chemin quai impasse calle avenida plaza paseo via viale piazza rua".split())
 _PEOPLE = GIVEN_NAMES | NICKNAMES.keys()
-_ID_CUES = frozenset("security national passport tax insurance driver drivers licence license identity id".split())
+_ID_CUES = frozenset("security ssn national passport tax insurance driver drivers licence license identity id".split())
 _TITLE_SET = frozenset(TITLES)
-_TRIGGERS = _STREET_WORDS | _FOREIGN_STREETS | _PEOPLE | _ID_CUES | _TITLE_SET
+_CUE_SET = frozenset(re.findall("[a-z]+", f"{_ADDRESSED}|{_ACTING}")) - {"i", "is", "m"}
+_TRIGGERS = _CUE_SET | _STREET_WORDS | _FOREIGN_STREETS | _PEOPLE | _ID_CUES | _TITLE_SET
 _SIMPLE_WORDS = re.compile(r"[^\W\d_]+").findall
 _DIGIT = re.compile(r"\d")
 _INITIAL_HINT = re.compile(r"(?<![\w@])[^\W\d_a-z]\.[ \t]?[^\W\d_]|,[ \t][^\W\d_a-z]\.")
@@ -160,21 +185,49 @@ def _surname(word: str, capital: bool) -> bool:
     return low not in COMMON_WORDS and low not in ORGANISATION_WORDS and low not in _PEOPLE and low not in _STREET_WORDS and (not capital or _capital(word))
 
 
+def _shaped(word: str) -> bool:
+    """Whether a word is written like a part of a name (a capital, then small letters) and is no common word."""
+    low = word.lower()
+    return word[0].isupper() and word[-1].islower() and low not in COMMON_WORDS and low not in ORGANISATION_WORDS and low not in _STREET_WORDS and low not in _TITLE_SET
+
+
+def _previous(text: str, at: int) -> tuple[int, str, bool] | None:
+    """(start, word, whether a comma follows it) of the last name right before a position."""
+    end = at - 1
+    if end < 1 or text[end] not in " \t":
+        return None
+    comma = text[end - 1] == ","
+    end -= comma
+    start = end
+    while start and (text[start - 1].isalpha() or text[start - 1] in "'’-" or "\u0300" <= text[start - 1] <= "\u036f"):
+        start -= 1
+    if start and (text[start - 1] in "@.+/#_" or text[start - 1].isalnum()) or not _LAST_ONLY.fullmatch(text, start, end):
+        return None
+    return start, text[start:end], comma
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the identifiers of a normalised text, in order and without overlap."""
-    spans: list[tuple[str, int, int]] = []
+    spans: list[tuple[str, int, int]] = []  # by start
+    starts: list[int] = []
 
     def free(start: int, end: int) -> bool:
-        return all(end <= s or start >= e for _, s, e in spans)
+        i = bisect.bisect_right(starts, start)
+        return (not i or spans[i - 1][2] <= start) and (i == len(starts) or starts[i] >= end)
 
     def add(kind: str, start: int, end: int) -> None:
         if free(start, end):
-            spans.append((kind, start, end))
+            i = bisect.bisect_right(starts, start)
+            starts.insert(i, start)
+            spans.insert(i, (kind, start, end))
 
     triggers = _TRIGGERS.intersection(_SIMPLE_WORDS(text.lower()))
     if "@" in text:
         for m in _EMAIL.finditer(text):
             add("email", m.start(), m.end())
+        if not text.isascii():
+            for m in _EMAIL_ABROAD.finditer(text):
+                add("email", m.start(), m.end())
     if _DIGIT.search(text):
         for m in _ID.finditer(text):
             add("idnumber", m.start(), m.end())
@@ -199,10 +252,14 @@ def detect(text: str) -> list[tuple[str, int, int]]:
                 add("address", m.start(), m.end())
     if triggers & _TITLE_SET:
         for m in _TITLED.finditer(text):
-            capital = _capital(m[1])
-            if _surname(m[3], capital):
+            if m[1] in ("mx", "MX"):  # more likely the record
+                continue
+            capital, second = _capital(m[1]), m[4].strip()
+            if second and _shaped(second) and (m[3].lower() in _PEOPLE or _shaped(m[3])):
+                add("name", m.start(), m.end(4))
+            elif _surname(m[3], capital):
                 add("name", m.start(), m.end(3))
-            elif m[3].lower() in _PEOPLE and m[4] and _surname(m[4].strip(), capital):
+            elif m[3].lower() in _PEOPLE and second and _surname(second, capital):
                 add("name", m.start(), m.end(4))
     if triggers & _PEOPLE:
         for w in _WORD.finditer(text):
@@ -216,15 +273,22 @@ def detect(text: str) -> list[tuple[str, int, int]]:
             if m and _surname(m[2], capital) and not (follow := _NEXT.match(text, m.end())) or m and _surname(m[2], capital) and follow[2].lower() not in ORGANISATION_WORDS:
                 add("name", s, m.end())
                 continue
-            m = _PREVIOUS.search(text, max(0, s - 60), s)
-            if m and _surname(m[1], capital) and (m[2] or capital):
-                add("name", m.start(), e)
+            before = _previous(text, s)
+            if before and _surname(before[1], capital) and (before[2] or capital):
+                add("name", before[0], e)
     if _INITIAL_HINT.search(text):
         for pattern, last in ((_INITIAL, 3), (_INITIAL_AFTER, 1)):
             for m in pattern.finditer(text):
                 if _surname(m[last], True):
                     add("name", m.start(), m.end())
-    return sorted(spans, key=lambda x: x[1])
+    if triggers & _CUE_SET:
+        for pattern in (_NAMED_AFTER, _NAMED_BEFORE):
+            for m in pattern.finditer(text):
+                if _shaped(m[1]) and _shaped(m[2]):
+                    follow = _THEN.match(text, m.end(2))
+                    if not follow or follow[1].lower() not in ORGANISATION_WORDS and not (follow[1][0].isupper() and follow[1].lower() in _STREET_WORDS):
+                        add("name", m.start(1), m.end(2))
+    return spans
 
 
 def redact(text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
