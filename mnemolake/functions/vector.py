@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from ..workers import map_batches
 
 BROADCAST_BYTES = 128 << 20
+#: The name of `hash_embedding`'s vectors.
+HASH_MODEL = "hash-64"
+#: What is taken off the ends of a word before it is hashed (fixed value).
+PUNCTUATION = ".,!?')(\""
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -101,14 +106,19 @@ def _scan(sent, k: int):
 
 
 def hash_embedding(text: str | None, dim: int = 64) -> list[float] | None:
-    """A bag of word beginnings (5 characters, words of 3 or more), each in the bucket of its MD5, of length 1; null for no words."""
+    """A bag of word beginnings (5 characters of words without outer punctuation, 3 or more), each in the bucket of its MD5, of length 1.
+
+    Null for a null text; zeros for a text without such words.
+    """
+    if text is None:
+        return None
     v = np.zeros(dim)
-    for word in (text or "").lower().split():
-        stem = "".join(c for c in word if c.isalnum())[:5]
-        if len(stem) >= 3:
-            v[int.from_bytes(hashlib.md5(stem.encode()).digest()[:4], "little") % dim] += 1
-    length = np.linalg.norm(v)
-    return None if length == 0 else (v / length).astype(float).tolist()
+    begins = (word.strip(PUNCTUATION)[:5] for word in text.lower().split())
+    for begin in begins:
+        if len(begin) >= 3:
+            v[int.from_bytes(hashlib.md5(begin.encode()).digest()) % dim] += 1
+    length = math.sqrt(float((v * v).sum()))
+    return (v / (length or 1.0)).tolist()
 
 
 def embed_texts(df: DataFrame, id_col: str, text_col: str, embed=hash_embedding) -> DataFrame:

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import GRAPH_SHARE, Profile, Settings
-from ..functions.text import condense, estimate_tokens
+from ..functions.text import condense, estimate_tokens, leading_clause
 from . import graph
 from .facts import days_between, latest_first
 from .lessons import newest_lessons
-from .retrieval import Memory, explain_chunks, fact_relevance
+from .retrieval import Memory, explain_chunks, fact_relevance, walk
 
 #: Sections in the order in which they are rendered, with their titles (fixed values).
 SECTIONS = (
@@ -49,7 +49,7 @@ def joined(lines: DataFrame, keys: list[str], section: str) -> DataFrame:
     return lines.groupBy(*keys).agg(body.alias("body")).withColumn("section", F.lit(section))
 
 
-def facts_lines(queries: DataFrame, live: DataFrame, versions: DataFrame, as_of: Column, budget: int, settings: Settings = Settings()) -> DataFrame:
+def facts_lines(queries: DataFrame, live: DataFrame, versions: DataFrame, as_of: Column, budget: int, settings: Settings = Settings(), *, tokens: Tokens = estimate_tokens) -> DataFrame:
     """(query_id, fact_id, line, position, used): profile facts first, then notes by relevance x importance x recency.
 
     Facts that a query does not match have the floor 0.3 and so one order for
@@ -65,50 +65,76 @@ def facts_lines(queries: DataFrame, live: DataFrame, versions: DataFrame, as_of:
     matched = hits.select("query_id", "id").join(rows, "id")
     every = usual.unionByName(matched.select(*usual.columns)).dropDuplicates(["query_id", "id"]).join(hits, ["query_id", "id"], "left")
     score = F.when(F.col("lead") == 1, 0.0).otherwise(F.round(F.coalesce("relevance", F.lit(FACT_FLOOR)) * F.col("base"), 12))
-    fitted = fit_lines(every.withColumn("_score", score), ["query_id"], [F.col("lead").desc(), F.col("_score").desc(), *latest_first(every)], budget)
+    fitted = fit_lines(every.withColumn("_score", score), ["query_id"], [F.col("lead").desc(), F.col("_score").desc(), *latest_first(every)], budget, tokens=tokens)
     return fitted.select("query_id", F.col("id").alias("fact_id"), "line", "position", "used")
 
 
-def episodic_lines(queries: DataFrame, memory: Memory, as_of: Column, profile: Profile, settings: Settings = Settings(), usable_chunks: DataFrame | None = None) -> DataFrame:
+def episodic_lines(queries: DataFrame, memory: Memory, as_of: Column, profile: Profile, settings: Settings = Settings(), usable_chunks: DataFrame | None = None, *, reached: tuple[DataFrame, DataFrame] | None = None, tokens: Tokens = estimate_tokens) -> DataFrame:
     """(query_id, line, position, used): the best chunks outside the query's own session, condensed."""
-    hits = explain_chunks(queries, memory, as_of, k=profile.episodic_top_k, hops=profile.graph_hops, settings=settings, usable_chunks=usable_chunks)
+    hits = explain_chunks(queries, memory, as_of, k=profile.episodic_top_k, hops=profile.graph_hops, settings=settings, usable_chunks=usable_chunks, reached=reached)
     lines = hits.select("query_id", "rank", F.concat(F.lit("- ["), "date", F.lit("] "), condense(F.col("text"))).alias("line"))
-    return fit_lines(lines, ["query_id"], [F.col("rank")], profile.budgets.episodic).select("query_id", "line", "position", "used")
+    return fit_lines(lines, ["query_id"], [F.col("rank")], profile.budgets.episodic, tokens=tokens).select("query_id", "line", "position", "used")
 
 
-def graph_lines(queries: DataFrame, memory: Memory, profile: Profile) -> DataFrame:
-    """(query_id, line, position, used): reached names by cluster label, labelled clusters first."""
-    reached = graph.expand(graph.seed_nodes(queries, memory.nodes), memory.edges, profile.graph_hops)
+def graph_lines(queries: DataFrame, memory: Memory, profile: Profile, *, reached: DataFrame | None = None, tokens: Tokens = estimate_tokens) -> DataFrame:
+    """(query_id, line, position, used): reached names by cluster label, labelled clusters first; `reached` is (query_id, id) where it is known."""
+    if reached is None:
+        reached = graph.expand(graph.seed_nodes(queries, memory.nodes), memory.edges, profile.graph_hops)
     named = reached.join(memory.nodes.select("id", "canonical_name", F.nullif("cluster_label", F.lit("")).alias("label")), "id")
     lists = named.groupBy("query_id", "label").agg(F.array_join(F.array_sort(F.collect_set("canonical_name")), ", ").alias("names"))
     lines = lists.select("query_id", "label", F.concat(F.lit("- "), F.coalesce(F.concat("label", F.lit(": ")), F.lit("")), "names").alias("line"))
     budget = int(profile.budgets.episodic * GRAPH_SHARE)
-    return fit_lines(lines, ["query_id"], [F.col("label").isNull(), F.col("label")], budget).select("query_id", "line", "position", "used")
+    return fit_lines(lines, ["query_id"], [F.col("label").isNull(), F.col("label")], budget, tokens=tokens).select("query_id", "line", "position", "used")
 
 
-def sessions_lines(sessions: DataFrame, budget: int, n: int = 5) -> DataFrame:
+def sessions_lines(sessions: DataFrame, budget: int, n: int = 5, *, tokens: Tokens = estimate_tokens) -> DataFrame:
     """(id, line, position, used): the n latest non-empty summaries, oldest first."""
     latest = sessions.filter("summary is not null and summary != ''").orderBy(F.col("id").desc()).limit(n)
-    return fit_lines(latest.select(F.lit(0).alias("_all"), "id", F.concat(F.lit("- "), "summary").alias("line")), ["_all"], [F.col("id")], budget).select("id", "line", "position", "used")
+    return fit_lines(latest.select(F.lit(0).alias("_all"), "id", F.concat(F.lit("- "), "summary").alias("line")), ["_all"], [F.col("id")], budget, tokens=tokens).select("id", "line", "position", "used")
 
 
-def lessons_lines(kept: DataFrame, budget: int, n: int = 5) -> DataFrame:
+def lessons_lines(kept: DataFrame, budget: int, n: int = 5, *, tokens: Tokens = estimate_tokens) -> DataFrame:
     """(id, line, position, used): the n newest lessons, oldest first."""
     rows = newest_lessons(kept, n).select(F.lit(0).alias("_all"), "id", F.concat(F.lit("- "), "text").alias("line"))
-    return fit_lines(rows, ["_all"], [F.col("id")], budget).select("id", "line", "position", "used")
+    return fit_lines(rows, ["_all"], [F.col("id")], budget, tokens=tokens).select("id", "line", "position", "used")
 
 
-def build_context(queries: DataFrame, memory: Memory, sessions: DataFrame, lessons: DataFrame, as_of: Column, profile: Profile, settings: Settings = Settings(), usable_chunks: DataFrame | None = None) -> DataFrame:
-    """(query_id, section, body): the non-empty sections of every query."""
-    live = memory.versions.filter("invalidated_at is null")
+def rolling_fold(previous: DataFrame, turns: DataFrame, budget: int, *, tokens: Tokens = estimate_tokens) -> DataFrame:
+    """(session_id, summary): earlier summaries with the leading clauses of evicted turns folded in, for any number of sessions.
+
+    `previous` has (session_id, summary), at most one a session; `turns` has
+    (session_id, pos, user_text). The summary is the first line, then one line
+    a clause in the order of `pos`; lines that repeat an earlier one in any case
+    are left out. The newest lines that fit the budget are kept, so the earlier
+    summary goes first. A session of which nothing fits gives no row.
+    """
+    old = previous.filter("summary is not null and summary != ''").select("session_id", F.lit(None).cast("bigint").alias("pos"), F.col("summary").alias("said"), F.col("summary").alias("line"))
+    clause = leading_clause(F.col("user_text"))
+    new = turns.select("session_id", F.col("pos").cast("bigint"), clause.alias("said")).filter("said != ''").withColumn("line", F.concat(F.lit("- "), "said"))
+    once = old.unionByName(new).groupBy("session_id", F.lower("said").alias("_low")).agg(F.min(F.struct(F.coalesce("pos", F.lit(-(1 << 62))).alias("at"), "line")).alias("first")).select("session_id", "first.at", "first.line")
+    kept = fit_lines(once, ["session_id"], [F.col("at").desc()], budget, tokens=tokens)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    return kept.groupBy("session_id").agg(F.array_join(lines, "\n").alias("summary"))
+
+
+def build_context(queries: DataFrame, memory: Memory, sessions: DataFrame, lessons: DataFrame, as_of: Column, profile: Profile, settings: Settings = Settings(), usable_chunks: DataFrame | None = None, *, facts: DataFrame | None = None, tokens: Tokens = estimate_tokens) -> DataFrame:
+    """(query_id, section, body): the non-empty sections of every query.
+
+    The graph is walked once for the sections that need it; `facts` are the
+    lines of `facts_lines` where the caller has them already.
+    """
+    if facts is None:
+        live = memory.versions.filter("invalidated_at is null")
+        facts = facts_lines(queries, live, memory.versions, as_of, profile.budgets.facts, settings, tokens=tokens)
+    reached, leg = walk(queries, memory, profile.graph_hops)
     own = [
-        joined(facts_lines(queries, live, memory.versions, as_of, profile.budgets.facts, settings), ["query_id"], "user_facts"),
-        joined(graph_lines(queries, memory, profile), ["query_id"], "graph_context"),
-        joined(episodic_lines(queries, memory, as_of, profile, settings, usable_chunks), ["query_id"], "relevant_past_moments"),
+        joined(facts, ["query_id"], "user_facts"),
+        joined(graph_lines(queries, memory, profile, reached=reached, tokens=tokens), ["query_id"], "graph_context"),
+        joined(episodic_lines(queries, memory, as_of, profile, settings, usable_chunks, reached=leg, tokens=tokens), ["query_id"], "relevant_past_moments"),
     ]
     shared = [
-        joined(sessions_lines(sessions, profile.budgets.sessions).withColumn("_all", F.lit(0)), ["_all"], "previous_sessions"),
-        joined(lessons_lines(lessons, profile.budgets.lessons, settings.lessons_in_prompt).withColumn("_all", F.lit(0)), ["_all"], "lessons"),
+        joined(sessions_lines(sessions, profile.budgets.sessions, tokens=tokens).withColumn("_all", F.lit(0)), ["_all"], "previous_sessions"),
+        joined(lessons_lines(lessons, profile.budgets.lessons, settings.lessons_in_prompt, tokens=tokens).withColumn("_all", F.lit(0)), ["_all"], "lessons"),
     ]
     parts = [p.select("query_id", "section", "body") for p in own] + [queries.select("query_id").crossJoin(F.broadcast(p.select("section", "body"))) for p in shared]
     return reduce(DataFrame.unionByName, parts).filter("body != ''")

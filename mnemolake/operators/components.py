@@ -44,12 +44,13 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
 
     before = signature(pairs)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if before[0] else 0):
         pairs = checkpointed(_star(_star(pairs, True), False))
         now = signature(pairs)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import canonical_name, json_object, strip
 from ..workers import map_batches
+from .graph import ENTITY_TYPES, upsert_edges, upsert_nodes
+
 
 def complete(prompts: DataFrame, call: Callable[[str], str | None], prompt_col: str = "prompt") -> DataFrame:
     """`prompts` with `completion`; an exception or None is an empty completion. `call` runs on the workers."""
@@ -48,8 +50,9 @@ def parsed_facts(outputs: DataFrame) -> DataFrame:
     """(id, key, value) of the scalar facts; a flat object without `facts` is the facts itself."""
     rows = payloads(outputs)
     facts = F.coalesce(F.get_json_object("payload", "$.facts"), F.col("payload"))
-    pairs = rows.select("id", F.explode(F.from_json(facts, "MAP<STRING,STRING>")).alias("key", "value"))
-    return pairs.filter("value is not null and not (trim(value) rlike '^[\\\\[{]')")
+    pairs = rows.select("id", F.explode(F.from_json(facts, "MAP<STRING,VARIANT>")).alias("key", "value"))
+    scalar = ~F.schema_of_variant("value").rlike("^(ARRAY|OBJECT|VOID)")
+    return pairs.filter(F.col("value").isNotNull() & scalar).select("id", "key", F.col("value").cast("string").alias("value"))
 
 
 def parsed_entities(outputs: DataFrame) -> DataFrame:
@@ -67,12 +70,30 @@ def parsed_relationships(outputs: DataFrame) -> DataFrame:
     return out.filter(" and ".join(f"{c} is not null and trim({c}) != ''" for c in parts))
 
 
-def edge_mentions(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relationships with their ends resolved to node ids by canonical name (of several types the smallest id)."""
-    known = nodes.groupBy("canonical_name").agg(F.min("id").alias("node"))
-    s = known.select(F.col("canonical_name").alias("_s"), F.col("node").alias("source_node"))
-    t = known.select(F.col("canonical_name").alias("_t"), F.col("node").alias("target_node"))
-    return relationships.withColumn("_cs", canonical_name(F.col("source"))).withColumn("_ct", canonical_name(F.col("target"))).join(s, F.col("_cs") == F.col("_s")).join(t, F.col("_ct") == F.col("_t")).drop("_cs", "_ct", "_s", "_t")
+def graph_of(outputs: DataFrame, nodes: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """What completions say of the graph, as (nodes, edges) in the form of the upserts.
+
+    An end of a relationship is the entity that the same completion names so,
+    else it is mentioned as one of type `entity`. A node's id follows from type
+    and name, or is the stored one, so the same completion twice adds counts but no nodes.
+    """
+    kind = F.when(F.col("type").isin(*ENTITY_TYPES), F.col("type")).otherwise("entity")
+    said = parsed_entities(outputs).select("id", kind.alias("type"), "name", canonical_name(F.col("name")).alias("canonical_name")).filter("canonical_name != ''")
+    links = parsed_relationships(outputs).withColumn("_s", canonical_name(F.col("source"))).withColumn("_t", canonical_name(F.col("target"))).filter("_s != '' and _t != ''")
+    ends = links.select("id", F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("_s").alias("canonical_name")), F.struct(F.col("target").alias("name"), F.col("_t").alias("canonical_name")))).alias("e")).select("id", "e.*")
+    own = said.groupBy("id", "canonical_name").agg(F.min("type").alias("own"))
+    typed = ends.join(own, ["id", "canonical_name"], "left").withColumn("type", F.coalesce("own", F.lit("entity")))
+    new = typed.filter("own is null").select("id", "type", "name", "canonical_name")
+    node_id = F.abs(F.xxhash64("type", "canonical_name") % (1 << 62))
+    stored_id = nodes.groupBy("type", "canonical_name").agg(F.min("id").alias("stored_id"))
+    mentions = said.unionByName(new).join(stored_id, ["type", "canonical_name"], "left")
+    mentions = mentions.select(F.coalesce("stored_id", node_id).alias("mention_id"), "type", "name", F.lit(0.5).alias("confidence"), F.lit(1).cast("bigint").alias("mentions"), as_of.alias("ts"))
+    placed = typed.join(stored_id, ["type", "canonical_name"], "left").groupBy("id", "canonical_name").agg(F.min(F.coalesce("stored_id", node_id)).alias("node"))
+    s, t = (placed.select("id", F.col("canonical_name").alias(c), F.col("node").alias(n)) for c, n in (("_s", "source_node"), ("_t", "target_node")))
+    edges = links.join(s, ["id", "_s"]).join(t, ["id", "_t"])
+    edge_id = F.abs(F.xxhash64("source_node", "target_node", F.lower("relation")) % (1 << 62))
+    edges = edges.select(edge_id.alias("mention_id"), "source_node", "target_node", F.col("relation").alias("relationship"), F.lit(0.5).alias("confidence"), F.lit(1).cast("bigint").alias("mentions"), as_of.alias("created_at"), as_of.alias("last_seen"), "source_chunk_id")
+    return upsert_nodes(mentions), upsert_edges(edges)
 
 
 def rolling_prompt(previous: Column, turns: Column) -> Column:

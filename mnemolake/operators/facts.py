@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SOURCE_IMPORTANCE, Settings
-from ..functions.guards import rejection
+from ..functions.guards import REASONS, rejection
 from ..functions.text import normalize_key, strip
 from .ordered import HOT_ROWS, bucket_if_hot, with_neighbour, with_running_sum
 
@@ -19,9 +19,9 @@ _KEY = ["key"]
 _ORDER = ["ts", "id"]
 
 
-def _bucket() -> Column:
-    """Days: they do not decrease along (ts, id)."""
-    return F.date_trunc("day", F.col("ts"))
+def _bucket(hot_rows: int = HOT_ROWS) -> list[Column]:
+    """Spans of time, from days to single times with a range of ids: none decreases along (ts, id)."""
+    return [*(F.date_trunc(unit, F.col("ts")) for unit in ("day", "hour", "minute")), F.struct("ts", F.floor(F.col("id") / max(1, hot_rows)).alias("ids"))]
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -48,7 +48,7 @@ def checked_events(events: DataFrame, settings: Settings = Settings()) -> DataFr
     reason = rejection(F.col("key"), F.col("value"), F.col("source"), reserved=tuple(settings.reserved_keys), markers=tuple(settings.self_reference_markers))
     forget = F.col("op") == "forget"
     key = normalize_key(F.col("key"))
-    reason = F.when(forget, F.when(F.coalesce(key, F.lit("")) == "", "empty key or value")).otherwise(reason)
+    reason = F.when(forget, F.when(F.coalesce(key, F.lit("")) == "", REASONS["empty"])).otherwise(reason)
     return once.select("id", F.col("key").alias("raw_key"), F.col("value").alias("raw_value"), key.alias("key"), strip(F.col("value")).alias("value"), "source", "ts", forget.alias("forget"), reason.alias("reason"))
 
 
@@ -59,7 +59,7 @@ def _resolved(events: DataFrame, settings: Settings, hot_rows: int) -> tuple[Dat
     events repeat the value of the version before them, whose number they have.
     """
     valid = checked_events(events, settings).filter("reason is null")
-    bucket = bucket_if_hot(valid, _KEY, _bucket(), hot_rows)
+    bucket = bucket_if_hot(valid, _KEY, _bucket(hot_rows), hot_rows)
     epochs = with_running_sum(valid, _KEY, _ORDER, bucket, F.col("forget").cast("int"), "epoch")
     forgets = epochs.filter("forget").select("key", "epoch", F.col("ts").alias("forgotten_at"))
     said = with_neighbour(epochs.filter("not forget"), _KEY, _ORDER, bucket, {"epoch": "prev_epoch"})
@@ -132,7 +132,7 @@ def history(versions: DataFrame, keys: DataFrame, key_col: str = "key", *, hot_r
     """Every version of the keys (normalised first) with its number, oldest first."""
     wanted = keys.select(normalize_key(F.col(key_col)).alias("key")).filter("key is not null").distinct()
     chain = versions.join(wanted, "key", "left_semi").withColumnRenamed("valid_from", "ts")
-    numbered = with_running_sum(chain, _KEY, _ORDER, bucket_if_hot(chain, _KEY, _bucket(), hot_rows), F.lit(1), "before")
+    numbered = with_running_sum(chain, _KEY, _ORDER, bucket_if_hot(chain, _KEY, _bucket(hot_rows), hot_rows), F.lit(1), "before")
     return numbered.withColumnRenamed("ts", "valid_from").withColumn("version", F.col("before") + 1).drop("before")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..config import Settings
 from ..functions.text import canonical_name, squeeze, strip
 from ..workers import map_batches
@@ -28,7 +29,7 @@ def upsert_nodes(mentions: DataFrame) -> DataFrame:
 
     id is the first mention's; confidence is the mean weighted by `mentions`
     (null counts as 0.5), which equals the running average of any order; aliases are the spellings that
-    differ from the canonical name, latest first, at most 8. Unknown types
+    differ from the canonical name, latest first (of one mention by spelling), at most 8. Unknown types
     become `entity`; blank names are skipped.
     """
     raw = strip(F.col("name"))
@@ -38,7 +39,7 @@ def upsert_nodes(mentions: DataFrame) -> DataFrame:
         F.min("mention_id").alias("first"), F.min("ts").alias("created"), F.max("ts").alias("updated"), F.sum("mentions").alias("n"), F.sum(F.col("confidence") * F.col("mentions")).alias("weighted"), F.min(F.struct("ts", "mention_id")).alias("seen")
     )
     # A spelling becomes an alias when it is first seen; aliases are listed latest first.
-    newest = Window.partitionBy("type", "canonical_name").orderBy(F.col("alias").desc(), F.col("seen").desc())
+    newest = Window.partitionBy("type", "canonical_name").orderBy(F.col("alias").desc(), F.col("seen").desc(), "raw")
     spelled = spelled.withColumn("alias", F.col("raw") != F.col("canonical_name")).withColumn("r", F.row_number().over(newest))
     kept = F.when(F.col("alias") & (F.col("r") <= MAX_ALIASES), F.struct("r", "raw"))
     return spelled.groupBy("type", "canonical_name").agg(
@@ -66,6 +67,39 @@ def upsert_edges(mentions: DataFrame) -> DataFrame:
     )
 
 
+def merged_nodes(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored nodes (in the schema of the table) with the nodes of `upsert_nodes` merged in by type and canonical name.
+
+    Counts add up, confidence is their mean by count, new spellings come first
+    among the at most 8 aliases; id, importance and cluster stay. A new node
+    has importance 0.5.
+    """
+    keys, columns = ["type", "canonical_name"], stored.columns
+    new = fresh.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("id", "aliases", "created_at", "updated_at", "confidence", "mention_count")))
+    n, more = F.coalesce("mention_count", F.lit(0)), F.coalesce("_mention_count", F.lit(0))
+    mean = F.when(F.col("_id").isNull(), F.col("confidence")).otherwise((F.coalesce("confidence", F.lit(0.5)) * n + F.coalesce("_confidence", F.lit(0.0)) * more) / F.greatest(n + more, F.lit(1)))
+    none = F.array().cast("array<string>")
+    values = {
+        "id": F.coalesce("id", "_id"), "aliases": F.slice(F.array_distinct(F.concat(F.coalesce("_aliases", none), F.coalesce("aliases", none))), 1, MAX_ALIASES), "created_at": F.least("created_at", "_created_at"),
+        "updated_at": F.greatest("updated_at", "_updated_at"), "confidence": mean, "mention_count": n + more, "importance": F.when(F.col("id").isNull(), 0.5).otherwise(F.col("importance")),
+    }
+    return stored.join(new, keys, "full").select(*(values.get(c, F.col(c)).alias(c) for c in columns))
+
+
+def merged_edges(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored edges with the edges of `upsert_edges` merged in by ends and relationship; new ones have importance 0.5 and weight 1."""
+    keys, columns = ["source_node", "target_node", "relationship"], stored.columns
+    new = fresh.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("id", "confidence", "created_at", "last_seen", "seen_count", "source_chunk_id")))
+    n, more = F.coalesce("seen_count", F.lit(0)), F.coalesce("_seen_count", F.lit(0))
+    mean = F.when(F.col("_id").isNull(), F.col("confidence")).otherwise((F.coalesce("confidence", F.lit(0.5)) * n + F.coalesce("_confidence", F.lit(0.0)) * more) / F.greatest(n + more, F.lit(1)))
+    old = F.col("id").isNotNull()
+    values = {
+        "id": F.coalesce("id", "_id"), "confidence": mean, "created_at": F.least("created_at", "_created_at"), "last_seen": F.greatest("last_seen", "_last_seen"), "seen_count": n + more,
+        "importance": F.when(old, F.col("importance")).otherwise(0.5), "weight": F.when(old, F.col("weight")).otherwise(1.0), "source_chunk_id": F.when(old, F.col("source_chunk_id")).otherwise(F.col("_source_chunk_id")),
+    }
+    return stored.join(new, keys, "full").select(*(values.get(c, F.col(c)).alias(c) for c in columns))
+
+
 def with_surviving_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are among the nodes (cascade of deleted nodes)."""
     ids = nodes.select(F.col("id").alias("_id"))
@@ -181,6 +215,18 @@ def clusters(nodes: DataFrame, edges: DataFrame, min_size: int = 2) -> DataFrame
     return members.join(sizes, "component").select("id", F.col("component").alias("cluster_id"))
 
 
+def stamped(nodes: DataFrame, members: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Nodes with the cluster they are in now; nodes in none lose theirs and its label.
+
+    `labels` (cluster_id, label) names the clusters in which some node has no label yet.
+    """
+    now = members.select("id", F.col("cluster_id").alias("_cluster"))
+    rows = nodes.join(now, "id", "left").withColumn("cluster_id", F.col("_cluster")).withColumn("cluster_label", F.when(F.col("_cluster").isNotNull(), F.nullif("cluster_label", F.lit(""))))
+    if labels is not None:
+        rows = rows.join(labels.select(F.col("cluster_id").alias("_cluster"), F.col("label").alias("_label")), "_cluster", "left").withColumn("cluster_label", F.coalesce("_label", "cluster_label"))
+    return rows.select(*nodes.columns)
+
+
 def cluster_listing(nodes: DataFrame, members: DataFrame, shown: int = 12) -> DataFrame:
     """(cluster_id, label, size, names): clusters with the first `shown` names by id; the label is the largest one stored."""
     rows = members.join(nodes.select("id", "canonical_name", "cluster_label"), "id")
@@ -211,16 +257,16 @@ def merge_candidates(nodes: DataFrame, as_of: Column, days: float, limit: int =
 def apply_merges(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after merging each drop_id into its keep_id (pairs are few).
 
-    Chains of merges end at the oldest node. Of edges that become equal the
-    smallest id stays; self-loops that arise are kept.
+    Chains of merges end at the oldest node, however long they are. Of edges
+    that become equal the smallest id stays; self-loops that arise are kept.
     """
-    chosen = pairs.groupBy("drop_id").agg(F.min("keep_id").alias("keep_id"))
-    for _ in range(3):
+    chosen = checkpointed(pairs.groupBy("drop_id").agg(F.min("keep_id").alias("keep_id")))
+    for _ in range(chosen.count().bit_length()):  # each jump doubles the steps taken
         onward = chosen.select(F.col("drop_id").alias("keep_id"), F.col("keep_id").alias("root"))
         chosen = chosen.join(onward, "keep_id", "left").select("drop_id", F.coalesce("root", "keep_id").alias("keep_id"))
-    s = F.broadcast(chosen.select(F.col("drop_id").alias("_s"), F.col("keep_id").alias("_sk")))
-    t = F.broadcast(chosen.select(F.col("drop_id").alias("_t"), F.col("keep_id").alias("_tk")))
+    s = chosen.select(F.col("drop_id").alias("_s"), F.col("keep_id").alias("_sk"))
+    t = chosen.select(F.col("drop_id").alias("_t"), F.col("keep_id").alias("_tk"))
     moved = edges.join(s, edges["source_node"] == F.col("_s"), "left").join(t, edges["target_node"] == F.col("_t"), "left")
     moved = moved.withColumn("source_node", F.coalesce("_sk", "source_node")).withColumn("target_node", F.coalesce("_tk", "target_node")).select(*edges.columns)
     unique = moved.groupBy("source_node", "target_node", "relationship").agg(F.min_by(F.struct(*edges.columns), "id").alias("e")).select("e.*")
-    return nodes.join(F.broadcast(chosen.select(F.col("drop_id").alias("id"))), "id", "left_anti"), unique
+    return nodes.join(chosen.select(F.col("drop_id").alias("id")), "id", "left_anti"), unique

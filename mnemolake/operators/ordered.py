@@ -19,10 +19,19 @@ from ..checkpoints import checkpointed
 HOT_ROWS = 1_000_000
 
 
-def bucket_if_hot(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int = HOT_ROWS) -> Column | None:
-    """`bucket` if some key has more than `hot_rows` rows, else None."""
-    most = df.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
-    return bucket if most > hot_rows else None
+def bucket_if_hot(df: DataFrame, keys: list[str], bucket: Column | list[Column], hot_rows: int = HOT_ROWS) -> Column | None:
+    """None if no key has more than `hot_rows` rows; else the first bucket that cuts all keys below that, or the last one.
+
+    Finer buckets are measured only where a coarser one leaves too many rows together.
+    """
+    buckets = bucket if isinstance(bucket, list) else [bucket]
+
+    def most(*more: Column) -> int:
+        return df.groupBy(*keys, *more).count().agg(F.max("count")).head()[0] or 0
+
+    if most() <= hot_rows:
+        return None
+    return next((b for b in buckets[:-1] if most(b.alias("_b")) <= hot_rows), buckets[-1])
 
 
 def with_neighbour(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, cols: dict[str, str], *, following: bool = False) -> DataFrame:

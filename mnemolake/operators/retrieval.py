@@ -57,12 +57,17 @@ def vector_leg(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return top.withColumn("best", best).filter("best > 0").select("query_id", F.col("id").alias("doc_id"), (F.greatest(F.lit(0.0), "cosine") / F.col("best")).alias("vector"))
 
 
+def walk(queries: DataFrame, memory: Memory, hops: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """The nodes that the queries reach, and the graph leg made from them."""
+    reached = checkpointed(graph.expand(graph.seed_nodes(queries, memory.nodes), memory.edges, hops))
+    # Read several times from here on: by the chunk scan, and by every leg that is nudged.
+    weights = checkpointed(graph.name_weights(reached, memory.nodes))
+    return reached, (weights, graph.chunk_weights(weights, memory.chunks))
+
+
 def graph_leg(queries: DataFrame, memory: Memory, hops: int) -> tuple[DataFrame, DataFrame]:
     """(query_id, name, weight) of reached names, and (query_id, chunk_id, weight)."""
-    seeds = graph.seed_nodes(queries, memory.nodes)
-    # Read several times from here on: by the chunk scan, and by every leg that is nudged.
-    weights = checkpointed(graph.name_weights(graph.expand(seeds, memory.edges, hops), memory.nodes))
-    return weights, graph.chunk_weights(weights, memory.chunks)
+    return walk(queries, memory, hops)[1]
 
 
 def explain_chunks(queries: DataFrame, memory: Memory, as_of: Column, *, k: int = 5, hops: int = 2, settings: Settings = Settings(), usable_chunks: DataFrame | None = None, reached: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, leading_clause, sentences, strip
+from .ordered import bucket_if_hot, with_running_sum
 
 
 def clean_messages(messages: DataFrame) -> DataFrame:
@@ -52,12 +53,19 @@ def pack_sentences(text: Column, target_tokens: int, tokens: Callable[[Column],
     return F.when(tokens(text) <= target_tokens, F.array(text)).otherwise(done)
 
 
-def chunked(pairs: DataFrame, target_tokens: int = 400) -> DataFrame:
+def chunked(pairs: DataFrame, target_tokens: int = 400, tokens: Callable[[Column], Column] = estimate_tokens) -> DataFrame:
     """(session_id, turn, piece, text, first_msg_id, last_msg_id, created_at) of exchanges."""
-    parts = pairs.select("session_id", "turn", "first_msg_id", "last_msg_id", "created_at", F.explode(F.array(pack_sentences(F.col("text"), target_tokens))).alias("parts"))
+    parts = pairs.select("session_id", "turn", "first_msg_id", "last_msg_id", "created_at", F.explode(F.array(pack_sentences(F.col("text"), target_tokens, tokens))).alias("parts"))
     return parts.select("session_id", "turn", "first_msg_id", "last_msg_id", "created_at", F.posexplode("parts").alias("piece", "text"))
 
 
+def turn_batches(pairs: DataFrame, size: int) -> DataFrame:
+    """(session_id, batch, turns, first_turn, last_msg_id): each session's exchanges in turn order, `size` at a time, whatever their numbers."""
+    hot = bucket_if_hot(pairs, ["session_id"], [F.floor(F.col("turn") / n) for n in (1_000_000, 10_000)])
+    counted = with_running_sum(pairs.select("session_id", "turn", "last_msg_id"), ["session_id"], ["turn"], hot, F.lit(1), "before")
+    return counted.groupBy("session_id", F.floor(F.col("before") / size).cast("bigint").alias("batch")).agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max("last_msg_id").alias("last_msg_id"))
+
+
 def session_rollup(sessions: DataFrame, messages: DataFrame, as_of: Column) -> DataFrame:
     """Sessions with counted messages, a title (first user text, 80 characters, where missing) and an end (as_of for open ones)."""
     rows = clean_messages(messages)
@@ -69,14 +77,14 @@ def session_rollup(sessions: DataFrame, messages: DataFrame, as_of: Column) -> D
     return joined.select("id", "started_at", F.coalesce("ended_at", as_of).alias("ended_at"), F.coalesce("title", F.left("first_text", F.lit(80))).alias("title"), "summary", F.coalesce("messages", F.lit(0)).alias("message_count"), F.col("ended_at").isNull().alias("was_open"))
 
 
-def session_tail(messages: DataFrame, budget: int) -> DataFrame:
-    """The last messages of each session within a token budget, at least one, with their running cost.
+def session_tail(messages: DataFrame, budget: int, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The last messages of each session within a token budget, at least one, with their running cost: by `tokens`, else their stored estimates.
 
     Each message costs at least 1, so a session's last `budget` + 1 rows
     decide; only those are gathered.
     """
     rows = clean_messages(messages).filter("role != 'system'")
-    cost = F.greatest(F.lit(1), F.coalesce(F.col("token_estimate"), estimate_tokens(F.col("content"))))
+    cost = F.greatest(F.lit(1), tokens(F.col("content")) if tokens else F.coalesce(F.col("token_estimate"), estimate_tokens(F.col("content"))))
     newest = Window.partitionBy("session_id").orderBy(F.col("id").desc())
     rows = rows.select("session_id", "id", "role", "content", cost.alias("cost")).withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= budget + 1)
     rows = rows.withColumn("used", F.sum("cost").over(newest.rowsBetween(Window.unboundedPreceding, 0)))

@@ -78,7 +78,7 @@ def reason(reserved: tuple[str, ...] = ()) -> str:
 
 
 EVENTS = f"""once AS (SELECT DISTINCT * FROM fact_events WHERE ts IS NOT NULL),
-checked AS (SELECT *, CASE WHEN op = 'forget' THEN CASE WHEN k = '' THEN 'empty key or value' END ELSE {reason()} END AS reason
+checked AS (SELECT *, CASE WHEN op = 'forget' THEN CASE WHEN k = '' THEN '{guards.REASONS["empty"]}' END ELSE {reason()} END AS reason
     FROM (SELECT *, coalesce({norm_key('key')}, '') AS k, coalesce({strip('value')}, '') AS v FROM once)),
 epochs AS (SELECT *, coalesce(sum(CASE WHEN op = 'forget' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM checked WHERE reason IS NULL),
 said AS (SELECT *, row_number() OVER (PARTITION BY k, epoch ORDER BY ts, id) > 1 AND source = 'auto' AND length(v) < 2 AS short FROM epochs WHERE op <> 'forget'),
@@ -194,16 +194,49 @@ def _rules_sql() -> str:
 
 
 _RELATION = squeeze("lower(relationship)")
-_BUDGET_ROWS = ", ".join(f"('{t.name.lower()}', {', '.join(str(x) for x in (p.budgets.working, p.budgets.facts, p.budgets.episodic, p.budgets.sessions, p.budgets.lessons, p.episodic_top_k, p.graph_hops))})" for t in Tier for p in [profile_for(Settings(stem=False), t)])
+#: Token budgets by their formula, from the default settings.
+_BUDGETS = """WITH d AS (SELECT greatest(256, 4096 - 512 - 600 - 0) AS dynamic), w AS (SELECT dynamic, CAST(trunc(dynamic * 0.55::DOUBLE) AS INTEGER) AS base FROM d),
+    s AS (SELECT tier, base, dynamic - base AS pool, tier = 'lite' AS lite FROM w, (VALUES ('lite'), ('standard'), ('full')) t(tier))
+    SELECT tier, CAST(base + CASE WHEN lite THEN trunc(pool * (0.3::DOUBLE * (1 - 0.45::DOUBLE) + 0.15::DOUBLE * (1 - 0.75::DOUBLE))) ELSE 0 END AS INTEGER) AS working,
+        CAST(trunc(pool * 0.4::DOUBLE) AS INTEGER) AS facts, CAST(trunc(pool * CASE WHEN lite THEN 0.3::DOUBLE * 0.45::DOUBLE ELSE 0.3::DOUBLE END) AS INTEGER) AS episodic,
+        CAST(trunc(pool * CASE WHEN lite THEN 0.15::DOUBLE * 0.75::DOUBLE ELSE 0.15::DOUBLE END) AS INTEGER) AS sessions, CAST(trunc(pool * 0.15::DOUBLE) AS INTEGER) AS lessons,
+        CASE tier WHEN 'full' THEN 5 WHEN 'standard' THEN 4 ELSE 3 END AS top_k, CASE tier WHEN 'full' THEN 2 ELSE 1 END AS hops FROM s"""
 _TELEMETRY = "tele AS (SELECT user_id AS host, ts, event_id AS id, least(30.0, value / 2) AS available FROM events), meas AS (SELECT *, CASE WHEN available >= 6 THEN 2 WHEN available >= 2.5 THEN 1 ELSE 0 END AS measured, available < 1.2 AS starved, row_number() OVER (PARTITION BY host ORDER BY ts, id) AS n FROM tele)"
 _DECAY_NODES = f"SELECT * FROM graph_nodes WHERE coalesce(confidence, 0.5) * exp(-{days(AS_OF, 'updated_at')} / 120.0) >= 0.15"
 _COMPONENTS = """WITH RECURSIVE ends AS (SELECT source_node AS a, target_node AS b FROM graph_edges WHERE source_node <> target_node AND source_node IN (SELECT id FROM graph_nodes) AND target_node IN (SELECT id FROM graph_nodes)),
     und AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends), walk AS (SELECT a AS id, a AS r FROM und UNION SELECT b, r FROM walk JOIN und ON id = a),
     comp AS (SELECT id, min(r) AS cluster_id FROM walk GROUP BY id)"""
-_MERGES = f"""recent AS (SELECT id, type, canonical_name, created_at, list_distinct(string_split(canonical_name, ' ')) AS words FROM graph_nodes WHERE created_at >= date_trunc('day', {AS_OF} - INTERVAL 365 DAY)),
+def merges(nodes: str = "graph_nodes", review: int = 365) -> str:
+    """CTEs ending in `chosen`: the first five pairs of recent nodes of one type that share a word."""
+    return f"""recent AS (SELECT id, type, canonical_name, created_at, list_distinct(string_split(canonical_name, ' ')) AS words FROM {nodes} WHERE created_at >= date_trunc('day', {AS_OF} - INTERVAL {review} DAY)),
     chosen AS (SELECT a.id AS keep_id, b.id AS drop_id, a.canonical_name AS keep_name, b.canonical_name AS drop_name FROM recent a JOIN recent b ON a.type = b.type AND list_has_any(a.words, b.words) AND (a.created_at, a.id) < (b.created_at, b.id)
         ORDER BY a.created_at, a.id, b.created_at, b.id LIMIT 5)"""
 
+
+def merge_applied(edges: str) -> str:
+    """CTEs after `chosen`, ending in `medges`: the edges with dropped ends moved to what they were merged into, without repeats."""
+    return f"""c1 AS (SELECT drop_id, min(keep_id) AS keep_id FROM chosen GROUP BY drop_id),
+    up AS (SELECT drop_id, keep_id FROM c1 UNION SELECT up.drop_id, c1.keep_id FROM up JOIN c1 ON up.keep_id = c1.drop_id),
+    root AS (SELECT drop_id, keep_id FROM up WHERE keep_id NOT IN (SELECT drop_id FROM c1)),
+    moved AS (SELECT e.* REPLACE (coalesce(s.keep_id, e.source_node) AS source_node, coalesce(t.keep_id, e.target_node) AS target_node) FROM {edges} e LEFT JOIN root s ON e.source_node = s.drop_id LEFT JOIN root t ON e.target_node = t.drop_id),
+    medges AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY source_node, target_node, relationship ORDER BY id) = 1)"""
+
+
+_SWEEP = f"""n0 AS ({_DECAY_NODES}),
+    e0 AS (SELECT * FROM graph_edges WHERE coalesce(confidence, 0.5) * exp(-{days(AS_OF, 'last_seen')} / 120.0) >= 0.15 AND source_node IN (SELECT id FROM n0) AND target_node IN (SELECT id FROM n0)),
+    {merges('n0')}, {merge_applied('e0')},
+    n2 AS (SELECT * FROM n0 WHERE id NOT IN (SELECT drop_id FROM c1) ORDER BY importance DESC NULLS LAST, mention_count DESC NULLS LAST, updated_at DESC NULLS LAST, id LIMIT 2000),
+    e2 AS (SELECT * FROM medges WHERE source_node IN (SELECT id FROM n2) AND target_node IN (SELECT id FROM n2) ORDER BY importance DESC NULLS LAST, seen_count DESC NULLS LAST, last_seen DESC NULLS LAST, id LIMIT 5000),
+    und AS (SELECT source_node AS a, target_node AS b FROM e2 WHERE source_node <> target_node UNION SELECT target_node, source_node FROM e2 WHERE source_node <> target_node),
+    walk AS (SELECT a AS id, a AS r FROM und UNION SELECT b, r FROM walk JOIN und ON id = a), comp AS (SELECT id, min(r) AS cluster_id FROM walk GROUP BY id)"""
+
+#: The three longest words of what a model sees of each exchange, longest first.
+_LONGEST = f"""{PAIRS}, longest AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY length(word) DESC, word) AS r
+    FROM (SELECT DISTINCT first_msg_id AS id, unnest(regexp_extract_all('User said: ' || user_text || chr(10) || 'Assistant replied: ' || left(assistant_text, 400), '[A-Za-z]{{6,}}')) AS word FROM exch) QUALIFY r <= 3)"""
+#: White space by which Python splits words.
+_SPLIT = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 SQL: dict[str, str] = {
     "exchange_pairing": f"WITH {PAIRS} SELECT session_id, turn, first_msg_id, last_msg_id, text FROM exch",
     "session_rollup": f"""WITH {CLEAN}, stats AS (SELECT session_id, count(*) AS n, arg_min(content, id) FILTER (WHERE role = 'user') AS first_text FROM clean GROUP BY session_id)
@@ -224,7 +257,7 @@ SQL: dict[str, str] = {
         lines AS (SELECT session_id, id, '- ' || clause AS line FROM uniq), fitted AS ({fit('lines', 'PARTITION BY session_id', 'id DESC', 120)})
         SELECT session_id, count(*) AS lines, string_agg(line, chr(10) ORDER BY id) AS summary FROM fitted GROUP BY session_id""",
     "token_estimates": f"SELECT id, {tokens_of('content')} AS tokens FROM messages WHERE content IS NOT NULL",
-    "batched_cadence": f"WITH {PAIRS} SELECT session_id, CAST(floor((turn - 1) / 2) AS BIGINT) AS batch, count(*) AS turns, min(turn) AS first_turn, max(last_msg_id) AS last_msg_id FROM exch GROUP BY ALL",
+    "batched_cadence": f"WITH {PAIRS} SELECT session_id, batch, count(*) AS turns, min(turn) AS first_turn, max(last_msg_id) AS last_msg_id FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1) // 2 AS batch FROM exch) GROUP BY session_id, batch",
     "query_term_list": f"SELECT id, array_to_string({terms_of('title')}, ' ') AS terms FROM sessions WHERE title IS NOT NULL",
     "postings_stats": f"WITH p AS (SELECT id, unnest({index_of('text')}) AS term FROM chunks), c AS (SELECT term, id, count(*) AS tf FROM p GROUP BY term, id) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM c GROUP BY term",
     "bm25_topk": f"WITH {ASKED}, {QTERMS}, {CHUNK_BM25} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM cb",
@@ -254,8 +287,11 @@ SQL: dict[str, str] = {
     "rule_capture": _rules_sql(),
     "importance_bump": f"WITH cap AS ({_rules_sql()}) SELECT c.id, CASE WHEN first_msg_id IN (SELECT id FROM cap) THEN greatest(importance, 0.8) ELSE importance END AS importance FROM chunks c",
     "graph_nodes_upsert": f"""WITH log AS (SELECT id, type, canonical_name AS name, confidence, mention_count AS n, updated_at AS ts FROM graph_nodes UNION ALL SELECT id, type, unnest(aliases), confidence, 1, created_at FROM graph_nodes),
-        r AS (SELECT *, {canonical('name')} AS cn, {strip('name')} AS raw FROM log)
-        SELECT min(id) AS id, type, cn AS canonical_name, CAST(sum(n) AS BIGINT) AS mention_count, min(ts) AS created_at, max(ts) AS updated_at, round(sum(coalesce(confidence, 0.5) * n) / sum(n), 6) AS confidence, least(8, count(DISTINCT raw) FILTER (WHERE raw <> cn)) AS n_aliases FROM r WHERE cn <> '' GROUP BY type, cn""",
+        r AS (SELECT *, {canonical('name')} AS cn, {strip('name')} AS raw FROM log),
+        first AS (SELECT type, cn, raw, min({{'t': ts, 'i': id}}) AS seen FROM r WHERE raw <> cn GROUP BY type, cn, raw QUALIFY row_number() OVER (PARTITION BY type, cn ORDER BY seen DESC, raw) <= 8),
+        spelt AS (SELECT type, cn, string_agg(raw, '|' ORDER BY seen DESC, raw) AS aliases FROM first GROUP BY type, cn)
+        SELECT min(id) AS id, type, cn AS canonical_name, CAST(sum(n) AS BIGINT) AS mention_count, min(ts) AS created_at, max(ts) AS updated_at, round(sum(coalesce(confidence, 0.5) * n) / sum(n), 6) AS confidence, coalesce(any_value(aliases), '') AS aliases
+        FROM r LEFT JOIN spelt USING (type, cn) WHERE cn <> '' GROUP BY type, cn""",
     "graph_edges_upsert": f"""SELECT min(id) AS id, source_node, target_node, {_RELATION} AS relationship, CAST(sum(seen_count) AS BIGINT) AS seen_count, arg_min(created_at, id) AS created_at, max(last_seen) AS last_seen, arg_min_null(source_chunk_id, id) AS source_chunk_id,
         round(sum(coalesce(confidence, 0.5) * seen_count) / sum(seen_count), 6) AS confidence FROM graph_edges WHERE {_RELATION} <> '' AND source_node <> target_node GROUP BY source_node, target_node, {_RELATION}""",
     "graph_caps": """WITH n AS (SELECT id FROM graph_nodes ORDER BY importance DESC NULLS LAST, mention_count DESC NULLS LAST, updated_at DESC NULLS LAST, id LIMIT 300),
@@ -269,7 +305,7 @@ SQL: dict[str, str] = {
     "graph_clusters": f"{_COMPONENTS} SELECT id, cluster_id FROM comp",
     "cluster_listing": f"""{_COMPONENTS}, m AS (SELECT comp.cluster_id, n.* EXCLUDE (cluster_id) FROM comp JOIN graph_nodes n USING (id)), f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS r FROM m)
         SELECT cluster_id, max(cluster_label) AS label, count(*) AS size, string_agg(canonical_name, ', ' ORDER BY id) FILTER (WHERE r <= 12) AS names FROM f GROUP BY cluster_id""",
-    "graph_merge_candidates": f"WITH {_MERGES} SELECT * FROM chosen",
+    "graph_merge_candidates": f"WITH {merges()} SELECT * FROM chosen",
     "graph_chunk_weights": f"WITH asked AS (SELECT id AS query_id, text FROM chunks WHERE id % 20 = 0), {graph_ctes(hops=1)} SELECT query_id, chunk_id, round(weight, 6) AS weight FROM cweights",
     "hybrid_recall": f"""WITH {RETRIEVAL}, {explained(hide=False)}, {FACT_HITS},
         hits AS (SELECT query_id, 'chunk' AS kind, chunk_id AS id, strftime(created_at, '%Y-%m-%d') AS date, total AS score, rank AS r FROM chunk_hits UNION ALL SELECT query_id, 'fact', fact_id, strftime(valid_from, '%Y-%m-%d'), total, rank FROM fact_scored)
@@ -296,7 +332,7 @@ SQL: dict[str, str] = {
             UNION ALL SELECT query_id, 4, b FROM asked, (SELECT string_agg(line, chr(10) ORDER BY position) AS b FROM ll_lines))
         SELECT query_id, string_agg({_list([t for _, t in SECTIONS]).replace('(', '[', 1).rpartition(')')[0]}][i + 1] || chr(10) || b, chr(10) || chr(10) ORDER BY i) AS prompt FROM body WHERE b IS NOT NULL AND b <> '' GROUP BY query_id""",
     "governor_classify": "SELECT event_id AS id, CASE WHEN least(30.0, value / 2) >= 6 THEN 2 WHEN least(30.0, value / 2) >= 2.5 THEN 1 ELSE 0 END AS tier FROM events",
-    "governor_budgets": f"SELECT * FROM (VALUES {_BUDGET_ROWS}) t(tier, working, facts, episodic, sessions, lessons, top_k, hops)",
+    "governor_budgets": _BUDGETS,
     "governor_fold": f"""WITH RECURSIVE {_TELEMETRY}, f AS (SELECT host, 0::BIGINT AS n, 0::BIGINT AS id, 0 AS measured, 2 AS tier, 0 AS streak FROM (SELECT DISTINCT host FROM tele) UNION ALL
         SELECT m.host, m.n, m.id, m.measured,
             CASE WHEN m.starved THEN 0 WHEN m.measured < f.tier THEN m.measured WHEN m.measured > f.tier AND f.streak + 1 >= 3 THEN least(f.tier + 1, 2) ELSE f.tier END,
@@ -306,4 +342,25 @@ SQL: dict[str, str] = {
     "store_stats": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("sessions", "messages", "chunks", "fact_events", "graph_nodes", "graph_edges")),
     "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS started_at, count(*) AS events FROM s GROUP BY user_id, n""",
+    "rolling_summary": f"""WITH {CLEAN}, one AS (SELECT session_id, id, {squeeze('content')} AS t FROM clean WHERE role = 'user'),
+        pos AS (SELECT *, instr(t, '. ') AS a, instr(t, '? ') AS b, instr(t, '! ') AS c FROM one),
+        cl AS (SELECT session_id, id, CASE WHEN a BETWEEN 2 AND 121 THEN t[:a] WHEN b BETWEEN 2 AND 121 THEN t[:b] WHEN c BETWEEN 2 AND 121 THEN t[:c] ELSE trim(t[:120]) END AS said FROM pos),
+        every AS (SELECT session_id, id, said, '- ' || said AS line FROM cl WHERE said <> '' UNION ALL SELECT id, -4611686018427387904, rolling_summary, rolling_summary FROM sessions WHERE rolling_summary <> ''),
+        uniq AS (SELECT session_id, min(id) AS id, arg_min(line, id) AS line FROM every GROUP BY session_id, lower(said)), fitted AS ({fit('uniq', 'PARTITION BY session_id', 'id DESC', 200)})
+        SELECT session_id, string_agg(line, chr(10) ORDER BY id) AS summary FROM fitted GROUP BY session_id""",
+    "toy_embed": rf"""WITH w AS (SELECT id, left(trim(unnest(regexp_split_to_array(lower(text), '{_SPLIT}')), '.,!?'')("'), 5) AS begins FROM chunks WHERE text IS NOT NULL),
+        c AS (SELECT id, CAST('0x' || right(md5(begins), 2) AS INTEGER) % 64 AS b, count(*) AS n FROM w WHERE length(begins) >= 3 GROUP BY ALL), l AS (SELECT id, sqrt(sum(n * n)) AS norm FROM c GROUP BY id),
+        v AS (SELECT k.id, list(CAST(coalesce(n, 0) / coalesce(norm, 1.0) AS FLOAT) ORDER BY i.b) AS embedding FROM (SELECT id FROM chunks WHERE text IS NOT NULL) k CROSS JOIN range(64) i(b) LEFT JOIN c ON c.id = k.id AND c.b = i.b LEFT JOIN l ON l.id = k.id GROUP BY k.id)
+        SELECT chunks.id, v.embedding FROM chunks LEFT JOIN v ON v.id = chunks.id""",
+    "llm_extract_parse": f"WITH {_LONGEST} SELECT id, CAST(r - 1 AS INTEGER) AS pos, 'thing' AS type, word AS name FROM longest",
+    "llm_extract_facts": f"WITH {_LONGEST} SELECT id, 'topic_' || (r - 1) AS key, word AS value FROM longest",
+    "llm_extract_relationships": f"WITH {_LONGEST} SELECT a.id, CAST(a.r - 1 AS INTEGER) AS pos, a.word AS source, 'with' AS relation, b.word AS target, CAST(NULL AS BIGINT) AS source_chunk_id FROM longest a JOIN longest b ON a.id = b.id AND b.r = a.r + 1",
+    "graph_extraction_store": f"""WITH {_LONGEST} SELECT 'node' AS kind, lower(word) AS name, 2 * count(*) AS n FROM longest GROUP BY lower(word)
+        UNION ALL SELECT 'edge', lower(a.word) || ' with ' || lower(b.word), 2 * count(*) FROM longest a JOIN longest b ON a.id = b.id AND b.r = a.r + 1 WHERE lower(a.word) <> lower(b.word) GROUP BY ALL""",
+    "graph_merge_apply": f"WITH RECURSIVE {merges()}, {merge_applied('graph_edges')} SELECT id, source_node, target_node, relationship FROM medges",
+    "consolidate_sweep": f"""WITH RECURSIVE {EVENTS}, d AS (SELECT id, importance * exp(-{days(AS_OF, 'coalesce(last_accessed_at, valid_from)')} / 60.0) AS effective, source, importance FROM versions WHERE invalidated_at IS NULL), {_SWEEP}
+        SELECT 'archived' AS name, (SELECT count(*) FROM d WHERE source = 'auto' AND effective < 0.15) AS rows UNION ALL SELECT 'nodes', count(*) FROM n2 UNION ALL SELECT 'edges', count(*) FROM e2 UNION ALL SELECT 'clustered', count(*) FROM comp""",
+    "cluster_labels": f"""WITH RECURSIVE {_SWEEP}, m AS (SELECT comp.cluster_id AS cid, n2.* FROM comp JOIN n2 USING (id)), f AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY id) AS p FROM m),
+        named AS (SELECT cid, regexp_replace(trim(trim(split_part(string_agg(canonical_name, ', ' ORDER BY id) FILTER (WHERE p <= 12), ',', 1), chr(32) || chr(9) || chr(10) || chr(13))), '\\A["'']+|["''.]+\\z', '', 'g') AS label, bool_or(coalesce(cluster_label, '') = '') AS missing FROM f GROUP BY cid)
+        SELECT n2.id, comp.cluster_id, CASE WHEN comp.cluster_id IS NOT NULL THEN coalesce(CASE WHEN missing AND length(label) BETWEEN 1 AND 60 THEN label END, nullif(n2.cluster_label, '')) END AS cluster_label FROM n2 LEFT JOIN comp USING (id) LEFT JOIN named ON cid = comp.cluster_id""",
 }

@@ -14,7 +14,7 @@ from ..functions.text import estimate_tokens, query_terms
 from ..functions.vector import cosine_top, embed_texts, usable_vector
 from ..operators import assembly, bm25, extraction, facts, governor, graph, lessons, retrieval, sessions
 from ..operators.consolidate import consolidate
-from ..sources.tables import table_counts
+from ..sources.tables import SCHEMAS, table_counts
 from .oracle import SQL
 
 AS_OF = "2025-07-01"
@@ -107,8 +107,15 @@ def token_estimates(spark, sf):
 def batched_cadence(spark, sf):
     """Extraction batches of two turns per session (the batch form of the streaming cadence)."""
     pairs = sessions.exchanges(table(spark, sf, "messages"))
-    batch = F.floor((F.col("turn") - 1) / PLAIN.batch_turns).cast("bigint")
-    return pairs.groupBy("session_id", batch.alias("batch")).agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max("last_msg_id").alias("last_msg_id"))
+    return sessions.turn_batches(pairs, PLAIN.batch_turns)
+
+
+@query
+def rolling_summary(spark, sf):
+    """Every session's stored summary with the clauses of its user texts folded in."""
+    turns = sessions.clean_messages(table(spark, sf, "messages")).filter("role = 'user'").select("session_id", F.col("id").alias("pos"), F.col("content").alias("user_text"))
+    before = table(spark, sf, "sessions").select(F.col("id").alias("session_id"), F.col("rolling_summary").alias("summary"))
+    return assembly.rolling_fold(before, turns, 200)
 
 
 # --- text index --------------------------------------------------------------------
@@ -239,7 +246,7 @@ def graph_nodes_upsert(spark, sf):
     own = n.select("id", "type", F.col("canonical_name").alias("name"), "confidence", "mention_count", F.col("updated_at").alias("ts"))
     other = n.select("id", "type", F.explode("aliases").alias("name"), "confidence", F.lit(1).cast("bigint").alias("mention_count"), F.col("created_at").alias("ts"))
     log = own.unionByName(other).withColumnsRenamed({"id": "mention_id", "mention_count": "mentions"})
-    return graph.upsert_nodes(log).select("id", "type", "canonical_name", "mention_count", "created_at", "updated_at", *r6("confidence"), F.size("aliases").cast("bigint").alias("n_aliases"))
+    return graph.upsert_nodes(log).select("id", "type", "canonical_name", "mention_count", "created_at", "updated_at", *r6("confidence"), F.array_join("aliases", "|").alias("aliases"))
 
 
 @query
@@ -412,26 +419,70 @@ def governor_fold(spark, sf):
 
 
 def _fake_output(text: str) -> str:
-    """A stand-in for a model: the longest words of a text as facts, entities and relationships."""
+    """A stand-in for a model: the three longest words of a text as facts, entities and relationships."""
     import json
+    import re
 
-    words = sorted({w.strip(".,!?:;") for w in text.split() if len(w) > 5}, key=lambda w: (-len(w), w))[:3]
+    words = sorted(set(re.findall("[A-Za-z]{6,}", text)), key=lambda w: (-len(w), w))[:3]
     return json.dumps({"facts": {f"topic_{i}": w for i, w in enumerate(words)}, "entities": [{"name": w, "type": "thing"} for w in words], "relationships": [{"source": a, "relation": "with", "target": b} for a, b in zip(words, words[1:])]})
 
 
+def _fake_answers(prompt: str) -> str:
+    """A stand-in for a model in upkeep: labels that share a word name the same thing; a cluster is called after its first name."""
+    return "yes" if "same thing" in prompt else "" if prompt.startswith("Key: ") else prompt.split(",")[0]
+
+
+def model_outputs(spark, sf):
+    pairs = sessions.exchanges(table(spark, sf, "messages")).select(F.col("first_msg_id").alias("id"), extraction.extraction_prompt(F.col("user_text"), F.col("assistant_text")).alias("prompt"))
+    return extraction.complete(pairs, _fake_output)
+
+
 @query
 def llm_extract_parse(spark, sf):
-    pairs = sessions.exchanges(table(spark, sf, "messages")).select(F.col("first_msg_id").alias("id"), extraction.extraction_prompt(F.col("user_text"), F.col("assistant_text")).alias("prompt"))
-    return extraction.parsed_entities(extraction.complete(pairs, _fake_output))
+    return extraction.parsed_entities(model_outputs(spark, sf))
+
+
+@query
+def llm_extract_facts(spark, sf):
+    return extraction.parsed_facts(model_outputs(spark, sf))
+
+
+@query
+def llm_extract_relationships(spark, sf):
+    return extraction.parsed_relationships(model_outputs(spark, sf))
+
+
+@query
+def graph_extraction_store(spark, sf):
+    """The graph after the same completions have been stored twice: counts double, nodes and edges do not."""
+    outputs = checkpointed(model_outputs(spark, sf))
+    nodes, edges = (spark.createDataFrame([], SCHEMAS[t]) for t in ("graph_nodes", "graph_edges"))
+    for _ in range(2):
+        more = extraction.graph_of(outputs, nodes, as_of())
+        nodes, edges = checkpointed(graph.merged_nodes(nodes, more[0])), checkpointed(graph.merged_edges(edges, more[1]))
+    names = nodes.select("id", F.col("canonical_name").alias("name"))
+    s, t = names.select(F.col("id").alias("source_node"), F.col("name").alias("s")), names.select(F.col("id").alias("target_node"), F.col("name").alias("t"))
+    linked = edges.join(s, "source_node").join(t, "target_node").select(F.lit("edge").alias("kind"), F.concat_ws(" ", "s", "relationship", "t").alias("name"), F.col("seen_count").alias("n"))
+    return nodes.select(F.lit("node").alias("kind"), F.col("canonical_name").alias("name"), F.col("mention_count").alias("n")).unionByName(linked)
+
+
+def _sweep(spark, sf):
+    return consolidate(versions(spark, sf), table(spark, sf, "graph_nodes"), table(spark, sf, "graph_edges"), as_of(), PLAIN.merged(graph_decay_days=120.0, graph_review_days=365.0), call=_fake_answers)
 
 
 @query
 def consolidate_sweep(spark, sf):
-    done = consolidate(versions(spark, sf), table(spark, sf, "graph_nodes"), table(spark, sf, "graph_edges"), as_of(), PLAIN.merged(graph_decay_days=120.0), call=lambda prompt: "yes" if "same thing" in prompt else "")
+    done = _sweep(spark, sf)
     parts = (("archived", done.archived), ("nodes", done.nodes), ("edges", done.edges), ("clustered", done.clusters))
     return table_counts({n: d.select(d.columns[0]) for n, d in parts})
 
 
+@query
+def cluster_labels(spark, sf):
+    """The nodes that a sweep keeps, stamped with their clusters and labels."""
+    return _sweep(spark, sf).nodes.select("id", "cluster_id", "cluster_label")
+
+
 @query
 def store_stats(spark, sf):
     names = ("sessions", "messages", "chunks", "fact_events", "graph_nodes", "graph_edges")

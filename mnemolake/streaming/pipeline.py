@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..checkpoints import checkpointed
 from ..config import Profile, Settings
 from ..functions import rules
 from ..functions.text import word_count
+from ..functions.vector import HASH_MODEL, embed_texts, hash_embedding
 from ..operators import sessions
-from ..sources.tables import SCHEMAS, append_rows
+from ..sources.tables import SCHEMAS, path_exists, write_batch
 from ..workers import ship_package
 
 JOB_SCHEMA = "session_id bigint, kind string, turns int, last_turn int"
@@ -79,31 +81,38 @@ def extraction_jobs(turns: DataFrame, profile: Profile, settings: Settings = Set
     return eligible.groupBy("session_id").applyInPandasWithState(flush, JOB_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def ingest(messages: DataFrame, root: str, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
-    """Appends each micro-batch of messages to the memory at `root`, with its chunks and rule-captured facts.
+def ingest(messages: DataFrame, root: str, checkpoint: str, settings: Settings = Settings(), *, late: str = "30 days", embed: Callable[[str], list[float] | None] | None = hash_embedding, model: str = HASH_MODEL) -> StreamingQuery:
+    """Adds each micro-batch of messages to the memory at `root`, with its chunks, their vectors, and rule-captured facts.
 
-    A turn whose two sides arrive in different micro-batches has no chunk from
-    here; `sessions.chunked` over the messages table makes all of them. Each
-    batch is written once per batch id: a repeated batch, after a failure, is
-    recognised by its ids in the messages table.
+    A message delivered again under its id within `late` of its arrival counts
+    once (the ids are stream state, so a batch never reads the history). A side
+    of a turn whose partner has not come yet is carried from batch to batch and
+    makes its chunk when the turn is complete; so a turn may be split over any
+    batches. Every batch writes its own folder of each table, so a batch that is
+    repeated after a failure replaces what it had written: exactly once.
     """
-    from ..sources.tables import read_table
+    once = messages.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", late).dropDuplicatesWithinWatermark(["id"]).drop("_arrived")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_table(spark, root, "messages").select("id")
-        fresh = batch.dropDuplicates(["id"]).join(known, "id", "left_anti").persist()
-        try:
-            pairs = sessions.chunked(sessions.exchanges(fresh), settings.chunk_target_tokens)
-            key = F.xxhash64("session_id", "turn", "piece") % (1 << 62)
-            chunks = pairs.withColumn("id", F.abs(key)).withColumn("importance", F.lit(0.5))
-            user = sessions.clean_messages(fresh).filter("role = 'user'")
-            facts = rules.capture_facts(user, "id", "content").join(user.select("id", F.col("created_at").alias("ts")), "id")
-            facts = facts.select((F.col("id") * 100 + F.col("ord")).alias("id"), "key", "value", F.lit("rule").alias("source"), "ts", F.lit("remember").alias("op"))
-            append_rows(chunks, root, "chunks")
-            append_rows(facts, root, "fact_events")
-            append_rows(fresh, root, "messages")
-        finally:
-            fresh.unpersist()
-
-    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        fresh = checkpointed(batch)  # every output is of the same rows
+        open_ = f"{root.rstrip('/')}/open_turns/batch="
+        sides = sessions.clean_messages(fresh).filter("turn is not null and role != 'system'").select(*fresh.columns)
+        if batch_id and path_exists(spark, f"{open_}{batch_id - 1}"):
+            sides = sides.unionByName(spark.read.schema(fresh.schema).parquet(f"{open_}{batch_id - 1}"))
+        sides = checkpointed(sides)
+        pairs = sessions.exchanges(sides)
+        sides.join(pairs.select("session_id", "turn"), ["session_id", "turn"], "left_anti").select(*fresh.columns).write.mode("overwrite").parquet(f"{open_}{batch_id}")
+        pieces = sessions.chunked(pairs, settings.chunk_target_tokens)
+        chunks = pieces.withColumn("id", F.abs(F.xxhash64("session_id", "turn", "piece", "first_msg_id") % (1 << 62))).withColumn("importance", F.lit(0.5))
+        if embed is not None:
+            chunks = checkpointed(chunks)
+            chunks = chunks.join(embed_texts(chunks, "id", "text", embed), "id").withColumn("embedding_model", F.when(F.col("embedding").isNotNull(), model))
+        user = sessions.clean_messages(fresh).filter("role = 'user'")
+        facts = rules.capture_facts(user, "id", "content").join(user.select("id", F.col("created_at").alias("ts")), "id")
+        # Ids of captured facts are negative, so they never meet those that the store gives.
+        facts = facts.select((-1 - F.abs(F.xxhash64("id", "ord") % (1 << 62))).alias("id"), "key", "value", F.lit("rule").alias("source"), "ts", F.lit("remember").alias("op"))
+        for name, rows in (("chunks", chunks), ("fact_events", facts), ("messages", fresh)):
+            write_batch(rows, root, name, batch_id)
+
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
