@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..config import GRAPH_SHARE, Profile, Settings
 from ..functions.text import condense, estimate_tokens, leading_clause
 from . import graph
@@ -123,6 +124,7 @@ def build_context(queries: DataFrame, memory: Memory, sessions: DataFrame, lesso
     The graph is walked once for the sections that need it; `facts` are the
     lines of `facts_lines` where the caller has them already.
     """
+    queries = checkpointed(queries)  # every section reads them
     if facts is None:
         live = memory.versions.filter("invalidated_at is null")
         facts = facts_lines(queries, live, memory.versions, as_of, profile.budgets.facts, settings, tokens=tokens)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -147,14 +148,28 @@ def find_names(texts: DataFrame, names: DataFrame, *, broadcast_bytes: int = NAM
     return out
 
 
-def _name_scan(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+_automata: dict = {}
+
 
-        automaton = ahocorasick.Automaton()
+def _automaton(sent, token: str):
+    """The automaton of a broadcast list of names, built once per worker process; only the last one is kept."""
+    import ahocorasick
+
+    if token not in _automata:
+        built = ahocorasick.Automaton()
         for name in sent.value:
-            automaton.add_word(name, name)
-        automaton.make_automaton()
+            built.add_word(name, name)
+        built.make_automaton()
+        _automata.clear()
+        _automata[token] = built
+    return _automata[token]
+
+
+def _name_scan(sent):
+    token = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(sent, token)
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

@@ -59,7 +59,8 @@ def vector_leg(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def walk(queries: DataFrame, memory: Memory, hops: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
     """The nodes that the queries reach, and the graph leg made from them."""
-    reached = checkpointed(graph.expand(graph.seed_nodes(queries, memory.nodes), memory.edges, hops))
+    seeds = checkpointed(graph.seed_nodes(queries, memory.nodes))  # each hop reads them again
+    reached = checkpointed(graph.expand(seeds, memory.edges, hops))
     # Read several times from here on: by the chunk scan, and by every leg that is nudged.
     weights = checkpointed(graph.name_weights(reached, memory.nodes))
     return reached, (weights, graph.chunk_weights(weights, memory.chunks))
@@ -126,7 +127,11 @@ def explain_facts(queries: DataFrame, memory: Memory, as_of: Column, *, hops: in
 
 
 def recall(queries: DataFrame, memory: Memory, as_of: Column, *, k: int = 5, hops: int = 2, settings: Settings = Settings(), usable_chunks: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, kind, id, text, date, score): the k best chunks and facts of each query. Of equal scores chunks come first."""
+    """(query_id, rank, kind, id, text, date, score): the k best chunks and facts of each query. Of equal scores chunks come first.
+
+    The queries and the nodes they reach are written once, since all legs read them.
+    """
+    queries = checkpointed(queries)
     reached = graph_leg(queries, memory, hops)
     c = explain_chunks(queries, memory, as_of, k=k, hops=hops, settings=settings, usable_chunks=usable_chunks, reached=reached)
     f = explain_facts(queries, memory, as_of, hops=hops, settings=settings, names=reached[0])
