@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..config import PROFILE_KEYS, Settings, Tier, profile_for
 from ..functions import guards, rules
-from ..functions.text import _ACCENTED, _PLAIN, STOPWORDS
+from ..functions.text import _ACCENTED, _PLAIN, _STEP2, _STEP3, _STEP4, STOPWORDS
 from ..operators.assembly import SECTIONS
 
 AS_OF = "TIMESTAMP '2025-07-01'"
@@ -111,8 +111,77 @@ def bm25(name: str, docs: str, live: str = "") -> str:
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 12) DESC, doc_id) AS rank FROM {name}_score) WHERE rank <= 20)"""
 
 
-CHUNK_BM25 = bm25("cb", "SELECT id AS doc_id, text FROM chunks")
-FACT_BM25 = bm25("fb", "SELECT id AS doc_id, key || ' ' || value AS text FROM versions", "WHERE doc_id IN (SELECT id FROM versions WHERE invalidated_at IS NULL)")
+# Porter's algorithm in SQL, one CTE a step. A vowel y is written Y, so vowels and consonants are two character classes.
+_V, _C = "[aeiouY]", "[^aeiouY]"
+
+
+def _m1(c: str) -> str:
+    return f"regexp_matches({c}, '{_V}{_C}')"
+
+
+def _m2(c: str) -> str:
+    return f"regexp_matches({c}, '{_V}+{_C}+{_V}+{_C}')"
+
+
+def _short(c: str) -> str:
+    return f"regexp_matches({c}, '{_C}{_V}[^aeiouYwxy]$')"
+
+
+def _cut(c: str, n: int) -> str:
+    return f"left({c}, length({c}) - {n})"
+
+
+#: What stands before ion where it is cut off.
+_ION = f" AND regexp_matches({_cut('w', 3)}, '[st]$')"
+
+
+def _longest_suffix(rules: list[tuple[str, str]]) -> str:
+    """The rule of the longest suffix that a word has; rules are (suffix, result)."""
+    return "CASE " + " ".join(f"WHEN ends_with(w, '{old}') THEN {result}" for old, result in sorted(rules, key=lambda r: -len(r[0]))) + " ELSE w END"
+
+
+def _mend(x: str) -> str:
+    """A word after ed or ing was cut off."""
+    return f"CASE WHEN regexp_matches({x}, '(at|bl|iz)$') THEN {x} || 'e' WHEN length({x}) > 1 AND {x}[-1] = {x}[-2] AND regexp_matches({x}, '[^aeiouYlsz]$') THEN {_cut(x, 1)} WHEN {_m1(x)} AND NOT {_m2(x)} AND {_short(x)} THEN {x} || 'e' ELSE {x} END"
+
+
+def stems(vocabulary: str) -> str:
+    """CTEs ending in `stems`(term, stem) of the terms of a query."""
+    replaced = [[(old, f"CASE WHEN {_m1(_cut('w', len(old)))} THEN {_cut('w', len(old))} || '{new}' ELSE w END") for old, new in table] for table in (_STEP2, _STEP3)]
+    dropped = [(old, f"CASE WHEN {_m2(_cut('w', len(old)))}{_ION if old == 'ion' else ''} THEN {_cut('w', len(old))} ELSE w END") for old in _STEP4]
+    steps = [
+        "CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_m1(_cut('w', 3))} THEN {_cut('w', 1)} ELSE w END WHEN ends_with(w, 'ed') AND regexp_matches({_cut('w', 2)}, '{_V}') THEN {_mend('(' + _cut('w', 2) + ')')} WHEN ends_with(w, 'ing') AND regexp_matches({_cut('w', 3)}, '{_V}') THEN {_mend('(' + _cut('w', 3) + ')')} ELSE w END",
+        f"CASE WHEN ends_with(lower(w), 'y') AND regexp_matches({_cut('w', 1)}, '{_V}') THEN {_cut('w', 1)} || 'i' ELSE w END",
+        *map(_longest_suffix, replaced),
+        _longest_suffix(dropped),
+        f"CASE WHEN ends_with(w, 'e') AND ({_m2(_cut('w', 1))} OR {_m1(_cut('w', 1))} AND NOT {_short(_cut('w', 1))}) THEN {_cut('w', 1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {_m2('w')} THEN {_cut('w', 1)} ELSE w END",
+    ]
+    out = [f"vocabulary AS ({vocabulary})", "p0 AS (SELECT term, regexp_replace(strip_accents(term), '([^aeiouy]|^y|[aeiou]y)y', '\\1Y', 'g') AS w FROM vocabulary WHERE regexp_matches(strip_accents(term), '\\A[a-z]{3,}\\z'))"]
+    out += [f"p{i} AS (SELECT term, {step} AS w FROM p{i - 1})" for i, step in enumerate(steps, 1)]
+    return ",\n".join([*out, f"stems AS (SELECT term, lower(w) AS stem FROM p{len(steps)} UNION ALL SELECT term, strip_accents(term) FROM vocabulary WHERE term NOT IN (SELECT term FROM p0))"])
+
+
+def bm25_stemmed(name: str, live: str = "") -> str:
+    """`bm25` over {name}_raw(term, doc_id, len_), the tokens of the documents, by stems; terms that stem alike count each."""
+    return f"""{name}_stat AS (SELECT count(*) AS n, avg(len_) AS avg_len FROM {name}_docs),
+{name}_post AS (SELECT stem AS term, doc_id, len_, count(*) AS tf FROM {name}_raw JOIN stems USING (term) GROUP BY stem, doc_id, len_),
+{name}_df AS (SELECT term, count(*) AS df FROM {name}_post GROUP BY term),
+{name}_score AS (SELECT query_id, doc_id, sum(weight * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len_ / avg_len))) AS bm25
+    FROM qstems JOIN {name}_post USING (term) JOIN {name}_df USING (term), {name}_stat {live} GROUP BY query_id, doc_id),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 12) DESC, doc_id) AS rank FROM {name}_score) WHERE rank <= 20)"""
+
+
+def _raw(name: str, docs: str) -> str:
+    return f"""{name}_docs AS (SELECT doc_id, toks, len(toks) AS len_ FROM (SELECT doc_id, {index_of('text')} AS toks FROM ({docs}))), {name}_raw AS (SELECT unnest(toks) AS term, doc_id, len_ FROM {name}_docs)"""
+
+
+_CHUNK_DOCS = "SELECT id AS doc_id, text FROM chunks"
+_FACT_DOCS, _LIVE = "SELECT id AS doc_id, key || ' ' || value AS text FROM versions", "WHERE doc_id IN (SELECT id FROM versions WHERE invalidated_at IS NULL)"
+_QSTEMS = "qstems AS (SELECT query_id, stem AS term, count(*) AS weight FROM qterms JOIN stems USING (term) GROUP BY query_id, stem)"
+CHUNK_BM25 = bm25("cb", _CHUNK_DOCS)
+FACT_BM25 = bm25("fb", _FACT_DOCS, _LIVE)
 VECTOR = """vtop AS (SELECT * FROM (SELECT query_id, id AS doc_id, cos, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 12) DESC, id DESC) AS r
     FROM (SELECT query_id, u.id, list_cosine_similarity(a.vec::DOUBLE[], u.embedding::DOUBLE[]) AS cos FROM asked a JOIN usable u ON a.grp = u.embedding_model)) WHERE r <= 20),
 vleg AS (SELECT query_id, doc_id, greatest(0.0, cos) / best AS vector FROM (SELECT *, max(cos) OVER (PARTITION BY query_id) AS best FROM vtop) WHERE best > 0)"""
@@ -149,6 +218,9 @@ FACT_HITS = f"""fact_hits AS (SELECT b.query_id, b.doc_id AS fact_id, b.rank, ke
     CASE WHEN EXISTS (SELECT 1 FROM weights w WHERE w.query_id = b.query_id AND contains(lower(value), w.name)) THEN 0.15 ELSE 0.0 END AS graph_nudge FROM fb b JOIN versions v ON v.id = b.doc_id),
 fact_scored AS (SELECT *, relevance * importance * recency + graph_nudge AS total FROM fact_hits)"""
 RETRIEVAL = f"{EVENTS}, {ASKED}, {QTERMS}, {CHUNK_BM25}, {FACT_BM25}, {VECTOR}, {graph_ctes()}"
+STEMMED_RETRIEVAL = f"""{EVENTS}, {ASKED}, {QTERMS}, {_raw("cb", _CHUNK_DOCS)}, {_raw("fb", _FACT_DOCS)}, {stems("SELECT term FROM cb_raw UNION SELECT term FROM fb_raw UNION SELECT term FROM qterms")}, {_QSTEMS},
+{bm25_stemmed("cb")}, {bm25_stemmed("fb", _LIVE)}, {VECTOR}, {graph_ctes()}"""
+
 
 
 def fit(source: str, keys: str, order: str, budget: int) -> str:
@@ -261,6 +333,7 @@ SQL: dict[str, str] = {
     "query_term_list": f"SELECT id, array_to_string({terms_of('title')}, ' ') AS terms FROM sessions WHERE title IS NOT NULL",
     "postings_stats": f"WITH p AS (SELECT id, unnest({index_of('text')}) AS term FROM chunks), c AS (SELECT term, id, count(*) AS tf FROM p GROUP BY term, id) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM c GROUP BY term",
     "bm25_topk": f"WITH {ASKED}, {QTERMS}, {CHUNK_BM25} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM cb",
+    "bm25_porter": f"""WITH {ASKED}, {QTERMS}, {_raw("cb", _CHUNK_DOCS)}, {stems("SELECT term FROM cb_raw UNION SELECT term FROM qterms")}, {_QSTEMS}, {bm25_stemmed("cb")} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM cb""",
     "like_fallback": f"""WITH {ASKED}, t8 AS (SELECT query_id, unnest({terms_of('text')}[:8]) AS term FROM asked),
         hit AS (SELECT query_id, c.id AS doc_id, count(*) AS hits FROM t8 JOIN chunks c ON contains(lower(c.text), term) GROUP BY query_id, c.id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM hit) WHERE rank <= 20""",
@@ -310,6 +383,9 @@ SQL: dict[str, str] = {
     "hybrid_recall": f"""WITH {RETRIEVAL}, {explained(hide=False)}, {FACT_HITS},
         hits AS (SELECT query_id, 'chunk' AS kind, chunk_id AS id, strftime(created_at, '%Y-%m-%d') AS date, total AS score, rank AS r FROM chunk_hits UNION ALL SELECT query_id, 'fact', fact_id, strftime(valid_from, '%Y-%m-%d'), total, rank FROM fact_scored)
         SELECT query_id, rank, kind, id, date, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, kind, r) AS rank FROM hits) WHERE rank <= 5""",
+    "hybrid_recall_stemmed": f"""WITH {STEMMED_RETRIEVAL}, {explained(hide=False)}, {FACT_HITS},
+        hits AS (SELECT query_id, 'chunk' AS kind, chunk_id AS id, strftime(created_at, '%Y-%m-%d') AS date, total AS score, rank AS r FROM chunk_hits UNION ALL SELECT query_id, 'fact', fact_id, strftime(valid_from, '%Y-%m-%d'), total, rank FROM fact_scored)
+        SELECT query_id, rank, kind, id, date, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, kind, r) AS rank FROM hits) WHERE rank <= 5""",
     "explain_breakdown": f"""WITH {RETRIEVAL}, {explained()},
         lit AS (SELECT h.query_id, h.chunk_id, string_agg(name, ', ' ORDER BY name) AS graph_names FROM chunk_hits h JOIN weights w ON w.query_id = h.query_id AND contains(lower(h.text), w.name) WHERE gw > 0 GROUP BY h.query_id, h.chunk_id)
         SELECT h.query_id, rank, h.chunk_id, coalesce(graph_names, '') AS graph_names, round(fts, 6) AS fts, round(vector, 6) AS vector, round(relevance, 6) AS relevance, round(importance_nudge, 6) AS importance_nudge, round(recency_nudge, 6) AS recency_nudge, round(graph_nudge, 6) AS graph_nudge, round(total, 6) AS total
