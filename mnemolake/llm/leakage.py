@@ -14,6 +14,7 @@ joined with a shuffle and the hits are extended in a second scan.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +114,9 @@ class ItemIndex:
             yield r, i, run
 
 
+_indexes: dict[str, ItemIndex] = {}
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", *, span_words: int = SPAN_WORDS, gram_words: int = GRAM_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, shared_words) of documents and items that share `span_words` consecutive words.
 
@@ -133,8 +137,13 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     item_arrow = to_arrow_type(items.schema[item_id].dataType)
     shared = documents.sparkSession.sparkContext.broadcast((ids, texts))
 
+    token = uuid.uuid4().hex
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*shared.value, gram_words, span_words)
+        if token not in _indexes:  # built once per worker process; only the last one is kept
+            _indexes.clear()
+            _indexes[token] = ItemIndex(*shared.value, gram_words, span_words)
+        index = _indexes[token]
         for batch in batches:
             doc_out, item_out, run_out = [], [], []
             for first, _, data, offsets in text_segments(batch.column(1)):

@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,8 +192,11 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     schema = f"{_quoted(id_col)} {df.schema[id_col].dataType.simpleString()}, ids array<int>"
 
+    if os.path.exists(vocabulary_path):  # for executors that do not have it
+        df.sparkSession.sparkContext.addFile(vocabulary_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocabulary_path)
+        vocab = vocabulary(vocabulary_path if os.path.exists(vocabulary_path) else SparkFiles.get(os.path.basename(vocabulary_path)))
         for batch in batches:
             for start in range(0, batch.num_rows, chunk_rows):
                 part = batch.slice(start, chunk_rows)
