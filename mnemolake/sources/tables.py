@@ -96,6 +96,16 @@ def replace_table(df: DataFrame, root: str, name: str) -> None:
     files.rename(place(f"{path}.new"), place(path))
 
 
+def table_bytes(spark: SparkSession, root: str, name: str) -> int:
+    """Bytes of a table's files."""
+    total = 0
+    for path in (table_path(root, name), stream_path(root, name)):
+        if path_exists(spark, path):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            total += place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return total
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, rows) of each table."""
     return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in tables.items()))

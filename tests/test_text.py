@@ -96,3 +96,24 @@ def test_cosine(spark):
     top = cosine_top(docs.filter("id in (1, 4)").withColumnRenamed("id", "query_id"), docs, 2, broadcast_bytes=64)
     assert sorted((r["query_id"], r["rank"], r["id"]) for r in top.collect()) == [(1, 1, 2), (1, 2, 1), (4, 1, 4)]
     assert hash_embedding("  ") is None and abs(sum(x * x for x in hash_embedding("kitchen kitchen table")) - 1) < 1e-9
+
+
+def test_lazy_embedder(spark):
+    from mnemolake.functions.embedder import LazyEmbedder, default_embedder
+    from mnemolake.functions.vector import embed_texts, hash_embedding
+
+    loads = []
+
+    def load():
+        loads.append(1)
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    e = LazyEmbedder("lengths", load)
+    q = e.for_queries("ask: ")
+    assert not e.resident() and e("abc") == [3.0, 1.0] and q("abc") == [8.0, 1.0] and e(None) is None
+    assert e.resident() and q.resident() and loads == [1]
+    bad = LazyEmbedder("broken", lambda: 1 / 0)
+    assert bad("x") is None and bad("y") is None and not bad.resident()
+    rows = spark.createDataFrame([(1, "abc"), (2, None)], "id bigint, t string")
+    assert {r["id"]: r["embedding"] for r in embed_texts(rows, "id", "t", default_embedder()).collect()} == {1: None, 2: None}  # its package is not here
+    assert hash_embedding(None) is None and hash_embedding("a b") == [0.0] * 64 and sum(x * x for x in hash_embedding("some (words), here!")) > 0.99
