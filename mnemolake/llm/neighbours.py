@@ -2,14 +2,16 @@
 
 Unit vectors are projected onto m random Gaussian directions (a 2-stable
 projection: a pair at distance d is a projected distance of d * chi(m) apart).
-A kd-tree over the first levels of projected space, fitted on a bounded sample,
-assigns every vector to a cell, which is a kd-tree of its own. In it a query's
-projected neighbours are verified by their true cosine, leaf by leaf in the
-order of their projected distance, until the chi-square test says that no closer
-neighbour is left with the chosen probability. The distance of the k-th best
-found at home bounds the true one: by it, and the normal law of each split
-coordinate, the query visits the other cells in which its neighbours may lie,
-and goes on there from that distance until the test holds again.
+The collection is spread over cells, those of the nearest of some centroids
+that are fitted on a bounded sample; each cell is a kd-tree over projected
+space. In it a query's projected neighbours are verified by their true cosine,
+leaf by leaf in the order of their projected distance, until the chi-square
+test says that no closer neighbour is left with the chosen probability. The
+distance of the k-th best found at home bounds the true one: the query visits
+the other cells into which a step of that length in any direction may lead, and
+goes on there from that distance until the test holds again. Cells of centroids
+are visited by few, however many cells there are; splits of projected space,
+whose coordinates know little of a vector, by a growing number.
 
 Verification is one product of a few hundred queries with a few leaves in single
 precision, whose rounding error is far below MARGIN; what comes within it of the
@@ -34,10 +36,12 @@ from .tokens import _quoted
 
 #: Rows of one cell, on average; a cell is searched by one task.
 CELL_ROWS = 16_384
-#: The sample on which the splits of a group are fitted: rows for each wanted cell, at least and at most so many rows.
-CELL_SAMPLE, LEAST_SAMPLE, SPLIT_SAMPLE = 32, 20_000, 1_000_000
-#: Probability of the chi-square stopping test, and share of the neighbours that visited cells should hold.
-STOP_PROBABILITY, VISIT_PROBABILITY = 0.985, 0.985
+#: The sample on which the centroids of a group are fitted: rows for each wanted cell, at least and at most so many rows.
+CELL_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 32, 20_000, 250_000
+#: Centroids up to which they are fitted at once; more are fitted in two levels.
+FLAT_CENTROIDS = 256
+#: Probability of the chi-square stopping test, and standard deviations of a step across a border within which cells are visited.
+STOP_PROBABILITY, VISIT_DEVIATIONS = 0.985, 2.0
 #: Least squared distance that is told from 0 in float32 projections, and by how much a float32 cosine may be off.
 LEAST_SQUARE, MARGIN = 1e-6, 4e-6
 _SEED = 20_240_601
@@ -61,51 +65,63 @@ def directions(dim: int, m: int) -> np.ndarray:
     return np.random.default_rng(_SEED).standard_normal((dim, m)).astype(np.float32)
 
 
-class CellTree:
-    """A complete kd-tree over projected space: 2**depth cells from the medians of a sample."""
+def centroids(sample: np.ndarray, count: int, rounds: int = 10) -> np.ndarray:
+    """`count` unit vectors, each in the middle of the sampled unit vectors that are nearest to it."""
+    if count > FLAT_CENTROIDS:
+        top = centroids(sample, math.ceil(math.sqrt(count)), rounds)
+        own = _nearest(sample, top)
+        parts = [sample[own == c] for c in range(len(top))]
+        return np.concatenate([centroids(p, max(1, round(count * len(p) / len(sample))), rounds) for p in parts if len(p)])
+    found = sample[np.random.default_rng(_SEED).permutation(len(sample))[:count]].copy()
+    for _ in range(rounds if len(found) > 1 else 0):
+        own = _nearest(sample, found)
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0])
+        middle = np.add.reduceat(sample[order], first, axis=0)
+        length = np.linalg.norm(middle, axis=1, keepdims=True)
+        found[own[order[first]]] = middle / np.maximum(length, 1e-9)
+    return found
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The most similar centre of each row."""
+    step = max(1, (4 << 20) // len(centres))
+    return np.concatenate([(x[at : at + step] @ centres.T).argmax(1) for at in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
+
+
+class Cells:
+    """The cells of one group: centroids, and the blocks into which the rows of a crowded cell are spread; its visitors see all of them."""
 
     def __init__(self, sample: np.ndarray, rows: int, cell_rows: int):
-        m = sample.shape[1]
-        wanted = max(0, math.ceil(math.log2(max(1.0, rows / cell_rows))))
-        self.depth = min(wanted, max(0, int(math.log2(max(1, len(sample) // CELL_SAMPLE)))))
-        self.dims = np.zeros(max(1, 2**self.depth - 1), np.int64)
-        self.cuts = np.zeros(max(1, 2**self.depth - 1), np.float32)
-        parts = {0: sample}
-        for node in range(2**self.depth - 1):
-            part = parts.pop(node)
-            d = int(np.argmax(part.var(0))) if len(part) else node % m
-            cut = float(np.median(part[:, d])) if len(part) else 0.0
-            self.dims[node], self.cuts[node] = d, cut
-            right = part[:, d] > cut
-            parts[2 * node + 1], parts[2 * node + 2] = part[~right], part[right]
-        counts = [len(parts[n]) for n in sorted(parts)]
-        share = np.array(counts) / max(1, len(sample))
-        #: Blocks into which a crowded cell's rows are spread; its visitors see all of them.
+        sample = np.unique(sample, axis=0)  # copies must not draw the centroids
+        count = min(math.ceil(rows / cell_rows), max(1, len(sample) // CELL_SAMPLE))
+        self.centres = centroids(sample, count) if count > 1 else sample[:1]
+        own = _nearest(sample, self.centres)
+        share = np.bincount(own, minlength=len(self.centres)) / max(1, len(sample))
         self.blocks = np.maximum(1, np.ceil(share * rows / (2 * cell_rows))).astype(np.int64)
         self.first = np.r_[0, np.cumsum(self.blocks)]
+        #: Distances between centroids.
+        self.apart = np.sqrt(np.maximum(2 - 2 * self.centres @ self.centres.T, 0)).astype(np.float32)
 
-    def own(self, p: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(p), np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + 1 + (p[np.arange(len(p)), self.dims[node]] > self.cuts[node])
-        return node - (2**self.depth - 1)
-
-    def visits(self, p: np.ndarray, distance: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) to visit: the likeliest cells of a neighbour at the row's `distance` until they hold `enough`."""
-        row, node, prob = np.arange(len(p)), np.zeros(len(p), np.int64), np.ones(len(p))
-        for _ in range(self.depth):
-            z = (p[row, self.dims[node]] - self.cuts[node]) / distance[row]
-            right = 1 / (1 + np.exp(np.clip(-1.702 * z, -60, 60)))  # the normal law, nearly
-            row, node = np.r_[row, row], np.r_[2 * node + 1, 2 * node + 2]
-            prob = np.r_[prob * (1 - right), prob * right]
-            keep = prob >= (1 - enough) / 16
-            row, node, prob = row[keep], node[keep], prob[keep]
-        order = np.lexsort((-prob, row))
-        row, cell, prob = row[order], node[order] - (2**self.depth - 1), prob[order]
-        before = np.cumsum(prob) - prob
-        start = np.searchsorted(row, row)
-        keep = before - before[start] < enough
-        return row[keep], cell[keep]
+    def own(self, unit: np.ndarray) -> np.ndarray:
+        return _nearest(unit, self.centres)
+
+    def visits(self, unit: np.ndarray, reach: np.ndarray, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells into which a step of length `reach` in a direction of chance may lead, each row's own among them.
+
+        Such a step changes the difference of the similarities to two centroids
+        by the normal law, with the deviation reach x their distance / sqrt(dim).
+        """
+        rows, cells = [], []
+        step = max(1, (2 << 20) // len(self.centres))
+        for at in range(0, len(unit), step):
+            alike = unit[at : at + step] @ self.centres.T
+            own = alike.argmax(1)
+            gap = alike[np.arange(len(own)), own][:, None] - alike
+            r, c = np.nonzero(gap <= deviations / math.sqrt(unit.shape[1]) * reach[at : at + step, None] * self.apart[own])
+            rows.append(r + at)
+            cells.append(c)
+        return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(cells) if cells else np.zeros(0, np.int64)
 
 
 def unit_rows(lists: pa.Array, dim: int) -> np.ndarray:
@@ -209,7 +225,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str, group_col: str, dim: int
     return rows.withColumn("h1", F.xxhash64("grp", "vec")).withColumn("h2", F.xxhash64(F.lit("second"), "vec", "grp"))
 
 
-def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", group_col: str = "embedding_model", *, k: int = 5, dim: int = 64, cell_rows: int = CELL_ROWS, visit: float = VISIT_PROBABILITY, stop: float = STOP_PROBABILITY) -> DataFrame:
+def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", group_col: str = "embedding_model", *, k: int = 5, dim: int = 64, cell_rows: int = CELL_ROWS, visit: float = VISIT_DEVIATIONS, stop: float = STOP_PROBABILITY) -> DataFrame:
     """(id, neighbour, rank, similarity) of the k most similar rows of every usable row of its group.
 
     Only vectors of `dim` finite values, not all zero, with a group take part,
@@ -218,7 +234,7 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     Rows with fewer than k partners have fewer results, a lone row none; an
     empty table gives none. Ids must be unique. Approximate: see the
     module's text; groups of at most `cell_rows` rows are one cell.
-    The number of groups must be small (their trees are held by the driver).
+    The number of groups must be small (their centroids are held by the driver).
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -229,18 +245,18 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
         return spark.createDataFrame([], "id bigint, neighbour bigint, rank int, similarity double")
     pick = F.lit(False)
     for g, n in sizes.items():
-        step = max(1, n // min(SPLIT_SAMPLE, max(LEAST_SAMPLE, CELL_SAMPLE * n // cell_rows)))
+        step = max(1, n // min(MOST_SAMPLE, max(LEAST_SAMPLE, CELL_SAMPLE * n // cell_rows)))
         pick = pick | ((F.col("grp") == g) & (F.pmod(F.xxhash64("id"), F.lit(step)) == 0))
     ms = {g: projections_needed(n) for g, n in sizes.items()}
     sampled: dict[str, list[bytes]] = {g: [] for g in sizes}
-    for r in rows.filter(pick).select("grp", "vec").mapInArrow(_sampler(dim, ms), "grp string, p binary").collect():  # at most about 2 * SPLIT_SAMPLE projections a group
-        sampled[r["grp"]].append(r["p"])
+    for r in map_batches(rows.filter(pick).select("grp", "vec"), _sampler(dim), "grp string, x binary").collect():  # at most about 2 * MOST_SAMPLE vectors a group
+        sampled[r["grp"]].append(r["x"])
     trees, blocks = {}, 0
     for g, n in sizes.items():
-        tree = CellTree(np.frombuffer(b"".join(sampled[g]), np.float32).reshape(-1, ms[g]), n, cell_rows)
-        trees[g] = (ms[g], tree, blocks)
-        blocks += int(tree.first[-1])
-    sent = spark.sparkContext.broadcast(trees)  # a few numbers a cell; the sample bounds the cells
+        cells = Cells(np.frombuffer(b"".join(sampled[g]), np.float32).reshape(-1, dim), n, cell_rows)
+        trees[g] = (ms[g], cells, blocks)
+        blocks += int(cells.first[-1])
+    sent = spark.sparkContext.broadcast(trees)  # the sample bounds the cells
     # A set number of partitions: the work of a block is not its size, by which they would be merged.
     parts = min(2 * blocks, 16_384)
     routed = map_batches(rows, _router(dim, sent, k), "block bigint, id bigint, h1 bigint, h2 bigint, grp string, x binary").repartition(parts, "block")
@@ -251,27 +267,26 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     streams = visiting.repartition(parts, "block").sortWithinPartitions("block", F.col("own").desc())
     found = map_batches(streams, _visit_searcher(dim, sent, k, stop), schema)
     best = found.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("best"))
+    # Adaptive execution splits the rows of a vector that very many of them share.
     each = rows.select("id", "h1", "h2").join(best, ["h1", "h2"])
     ranked = each.select("id", F.posexplode(F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)).alias("at", "b"))
     return ranked.select("id", F.col("b.id").alias("neighbour"), (F.col("at") + 1).alias("rank"), (-F.col("b.s")).alias("similarity"))
 
 
-def _sampler(dim: int, ms: dict[str, int]):
-    """Projections of the sampled rows."""
+def _sampler(dim: int):
+    """The sampled rows' unit vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit_rows(batch.column(1), dim).astype(np.float32)
-            names = batch.column(0).to_pylist()
-            planes = {g: directions(dim, ms[g]) for g in set(names)}
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(v @ planes[g]).tobytes() for v, g in zip(x, names)], pa.binary())], ["grp", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["grp", "x"])
 
     return run
 
 
-def _home(tree: CellTree, p: np.ndarray, h1: np.ndarray) -> np.ndarray:
-    cell = tree.own(p)
-    return tree.first[cell] + (h1.view(np.uint64) % tree.blocks[cell].astype(np.uint64)).astype(np.int64)
+def _home(cells: Cells, unit: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    cell = cells.own(unit)
+    return cells.first[cell] + (h1.view(np.uint64) % cells.blocks[cell].astype(np.uint64)).astype(np.int64)
 
 
 def _router(dim: int, sent, k: int):
@@ -299,10 +314,10 @@ def _router(dim: int, sent, k: int):
             raw = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
             unit = (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
             block = np.zeros(len(at), np.int64)
-            for g, (m, tree, offset) in sent.value.items():
+            for g, (_, cells, offset) in sent.value.items():
                 mine = np.flatnonzero(names[at] == g)
                 if len(mine):
-                    block[mine] = offset + _home(tree, unit[mine] @ directions(dim, m), h1[at[mine]])
+                    block[mine] = offset + _home(cells, unit[mine], h1[at[mine]])
             pick = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(block), *(batch.column(c).take(pick) for c in (0, 3, 4, 1)), pa.array([v.tobytes() for v in raw], pa.binary())], ["block", "id", "h1", "h2", "grp", "x"])
 
@@ -366,13 +381,13 @@ def _visitors(dim: int, sent, visit: float):
             names = np.array(batch.column(3).to_pylist(), object)
             unit = _vectors(batch.column(4), dim).astype(np.float32)
             block, source = [], []
-            for g, (m, tree, offset) in sent.value.items():
+            for g, (_, cells, offset) in sent.value.items():
                 mine = np.flatnonzero(names == g)
                 if not len(mine):
                     continue
-                r, c = tree.visits(unit[mine] @ directions(dim, m), reach[mine], visit)
-                n = tree.blocks[c]
-                r, to = np.repeat(r, n), offset + np.repeat(tree.first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                r, c = cells.visits(unit[mine], reach[mine], visit)
+                n = cells.blocks[c]
+                r, to = np.repeat(r, n), offset + np.repeat(cells.first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 away = to != home[mine[r]]
                 block.append(to[away])
                 source.append(mine[r[away]])
