@@ -3,15 +3,16 @@
 Unit vectors are projected onto m random Gaussian directions (a 2-stable
 projection: a pair at distance d is a projected distance of d * chi(m) apart).
 The collection is spread over cells, those of the nearest of some centroids
-that are fitted on a bounded sample; each cell is a kd-tree over projected
-space. In it a query's projected neighbours are verified by their true cosine,
-leaf by leaf in the order of their projected distance, until the chi-square
-test says that no closer neighbour is left with the chosen probability. The
-distance of the k-th best found at home bounds the true one: the query visits
-the other cells into which a step of that length in any direction may lead, and
-goes on there from that distance until the test holds again. Cells of centroids
-are visited by few, however many cells there are; splits of projected space,
-whose coordinates know little of a vector, by a growing number.
+that are fitted on a bounded sample; a vector near a border is also held by the
+cells beyond it, the border's width being such that COPIES cells hold a vector
+on average, however many cells there are. Each cell is a kd-tree over projected
+space. In its own cell a query's projected neighbours are verified by their true
+cosine, leaf by leaf in the order of their projected distance, until the
+chi-square test says that no closer neighbour is left with the chosen
+probability. The distance of the k-th best found bounds the true one: a query
+for which a step of that length may lead past the width of a border, as in
+sparse regions, visits the cells beyond, and goes on there from that distance
+until the test holds again.
 
 Verification is one product of a few hundred queries with a few leaves in single
 precision, whose rounding error is far below MARGIN; what comes within it of the
@@ -40,8 +41,10 @@ CELL_ROWS = 16_384
 CELL_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 32, 20_000, 250_000
 #: Centroids up to which they are fitted at once; more are fitted in two levels.
 FLAT_CENTROIDS = 256
+#: Cells that hold a vector, on average, and sampled vectors by which the width of the borders is measured.
+COPIES, BORDER_SAMPLE = 2.5, 2_000
 #: Probability of the chi-square stopping test, and standard deviations of a step across a border within which cells are visited.
-STOP_PROBABILITY, VISIT_DEVIATIONS = 0.985, 2.0
+STOP_PROBABILITY, VISIT_DEVIATIONS = 0.985, 2.5
 #: Least squared distance that is told from 0 in float32 projections, and by how much a float32 cosine may be off.
 LEAST_SQUARE, MARGIN = 1e-6, 4e-6
 _SEED = 20_240_601
@@ -102,26 +105,44 @@ class Cells:
         self.first = np.r_[0, np.cumsum(self.blocks)]
         #: Distances between centroids.
         self.apart = np.sqrt(np.maximum(2 - 2 * self.centres @ self.centres.T, 0)).astype(np.float32)
+        some = sample[np.random.default_rng(_SEED).permutation(len(sample))[:BORDER_SAMPLE]]
+        alike = some @ self.centres.T
+        gaps = np.sort((alike.max(1, keepdims=True) - alike).ravel()) if len(some) else np.zeros(1, np.float32)
+        #: The border's width: how much less similar a cell's centroid may be than the nearest one for the cell to hold a vector too.
+        self.width = float(gaps[min(len(gaps) - 1, int(COPIES * len(some)))])
+
+    def holders(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that hold each row, its own among them."""
+        rows, cells = [], []
+        for at, alike in self._alike(unit):
+            r, c = np.nonzero(alike.max(1, keepdims=True) - alike <= self.width)
+            rows.append(r + at)
+            cells.append(c)
+        return np.concatenate(rows), np.concatenate(cells)
+
+    def _alike(self, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        step = max(1, (2 << 20) // len(self.centres))
+        for at in range(0, max(1, len(unit)), step):
+            yield at, unit[at : at + step] @ self.centres.T
 
     def own(self, unit: np.ndarray) -> np.ndarray:
         return _nearest(unit, self.centres)
 
     def visits(self, unit: np.ndarray, reach: np.ndarray, deviations: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of the cells into which a step of length `reach` in a direction of chance may lead, each row's own among them.
+        """(row, cell) of the cells into which a step of length `reach` in a direction of chance may lead so far that the row's own cell does not hold its end.
 
         Such a step changes the difference of the similarities to two centroids
         by the normal law, with the deviation reach x their distance / sqrt(dim).
         """
         rows, cells = [], []
-        step = max(1, (2 << 20) // len(self.centres))
-        for at in range(0, len(unit), step):
-            alike = unit[at : at + step] @ self.centres.T
+        for at, alike in self._alike(unit):
             own = alike.argmax(1)
             gap = alike[np.arange(len(own)), own][:, None] - alike
-            r, c = np.nonzero(gap <= deviations / math.sqrt(unit.shape[1]) * reach[at : at + step, None] * self.apart[own])
-            rows.append(r + at)
-            cells.append(c)
-        return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(cells) if cells else np.zeros(0, np.int64)
+            r, c = np.nonzero(gap + self.width <= deviations / math.sqrt(unit.shape[1]) * reach[at : at + len(own), None] * self.apart[own])
+            away = c != own[r]
+            rows.append(r[away] + at)
+            cells.append(c[away])
+        return np.concatenate(rows), np.concatenate(cells)
 
 
 def unit_rows(lists: pa.Array, dim: int) -> np.ndarray:
@@ -259,7 +280,7 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     sent = spark.sparkContext.broadcast(trees)  # the sample bounds the cells
     # A set number of partitions: the work of a block is not its size, by which they would be merged.
     parts = min(2 * blocks, 16_384)
-    routed = map_batches(rows, _router(dim, sent, k), "block bigint, id bigint, h1 bigint, h2 bigint, grp string, x binary").repartition(parts, "block")
+    routed = map_batches(rows, _router(dim, sent, k), "block bigint, own boolean, id bigint, h1 bigint, h2 bigint, grp string, x binary").repartition(parts, "block")
     answer = "found array<struct<s: double, id: bigint>>"
     classes = routed.groupBy("block").applyInArrow(_home_searcher(dim, sent, k, stop), f"block bigint, h1 bigint, h2 bigint, grp string, x binary, reach double, ids array<bigint>, {answer}")
     visiting = map_batches(classes, _visitors(dim, sent, visit), f"block bigint, own boolean, h1 bigint, h2 bigint, grp string, x binary, reach double, ids array<bigint>, {answer}")
@@ -284,13 +305,8 @@ def _sampler(dim: int):
     return run
 
 
-def _home(cells: Cells, unit: np.ndarray, h1: np.ndarray) -> np.ndarray:
-    cell = cells.own(unit)
-    return cells.first[cell] + (h1.view(np.uint64) % cells.blocks[cell].astype(np.uint64)).astype(np.int64)
-
-
 def _router(dim: int, sent, k: int):
-    """Rows for their own block; of equal vectors the k + 1 smallest ids."""
+    """Rows for their own block and for the others that hold them; of equal vectors the k + 1 smallest ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[int]] = {}
@@ -313,17 +329,25 @@ def _router(dim: int, sent, k: int):
                 continue
             raw = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
             unit = (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-            block = np.zeros(len(at), np.int64)
             for g, (_, cells, offset) in sent.value.items():
                 mine = np.flatnonzero(names[at] == g)
-                if len(mine):
-                    block[mine] = offset + _home(cells, unit[mine], h1[at[mine]])
-            pick = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(block), *(batch.column(c).take(pick) for c in (0, 3, 4, 1)), pa.array([v.tobytes() for v in raw], pa.binary())], ["block", "id", "h1", "h2", "grp", "x"])
+                if not len(mine):
+                    continue
+                home = cells.own(unit[mine])
+                home = cells.first[home] + (h1[at[mine]].view(np.uint64) % cells.blocks[home].astype(np.uint64)).astype(np.int64)
+                r, block = _blocks(cells, *cells.holders(unit[mine]))
+                pick = pa.array(at[mine[r]])
+                yield pa.RecordBatch.from_arrays([pa.array(offset + block), pa.array(block == home[r]), *(batch.column(c).take(pick) for c in (0, 3, 4, 1)), pa.array([raw[i].tobytes() for i in mine[r]], pa.binary())], ["block", "own", "id", "h1", "h2", "grp", "x"])
 
     return run
 
 
+def _blocks(cells: Cells, row: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block) of all blocks of the cells."""
+    n = cells.blocks[cell]
+    return np.repeat(row, n), np.repeat(cells.first[cell] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """float64 unit vectors of packed float32 ones."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
@@ -348,21 +372,28 @@ def _best_ids(q: np.ndarray, x: np.ndarray, s: np.ndarray, begin: np.ndarray, co
     return queries, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(-ss), pa.array(cand)], names=["s", "id"])), reach
 
 
+_FOUND = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
+_NOTHING = pa.schema([("block", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("grp", pa.string()), ("x", pa.binary()), ("reach", pa.float64()), ("ids", pa.list_(pa.int64())), ("found", _FOUND)]).empty_table()
+
+
 def _home_searcher(dim: int, sent, k: int, stop_probability: float):
     """Classes of equal vectors of a block, with their best ids in it and the distance within which better ones may lie."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         m = sent.value[table.column("grp")[0].as_py()][0]
-        ids, h1, h2 = (table.column(c).to_numpy() for c in ("id", "h1", "h2"))
+        ids, h1, h2, own = (table.column(c).to_numpy() for c in ("id", "h1", "h2", "own"))
         order = np.lexsort((ids, h2, h1))
         begin = np.flatnonzero(np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
         count = np.minimum(np.diff(np.r_[begin, len(order)]), k + 1)
         lead = pa.array(order[begin])
         unit = _vectors(table.column("x").take(lead), dim)
         p = unit.astype(np.float32) @ directions(dim, m)
-        q, x, s = Block(unit, p).search(unit, p, k + 1, chi_square_quantile(stop_probability, m), np.full(len(unit), -1.0))
-        queries, found, reach = _best_ids(q, x, s, begin, count, ids[order], k)
+        asking = np.flatnonzero(own[order[begin]])  # all rows of a class are at home here, or none
+        if not len(asking):
+            return _NOTHING
+        q, x, s = Block(unit, p).search(unit[asking], p[asking], k + 1, chi_square_quantile(stop_probability, m), np.full(len(asking), -1.0))
+        queries, found, reach = _best_ids(asking[q], x, s, begin, count, ids[order], k)
         members = [ids[order[b : b + n]] for b, n in zip(begin[queries], count[queries])]
         pick = pa.array(order[begin[queries]])
         return pa.Table.from_arrays([*(table.column(c).take(pick) for c in ("block", "h1", "h2", "grp", "x")), pa.array(np.sqrt(np.maximum(reach, LEAST_SQUARE))), pa.array(members, pa.list_(pa.int64())), found], ["block", "h1", "h2", "grp", "x", "reach", "ids", "found"])
@@ -385,12 +416,9 @@ def _visitors(dim: int, sent, visit: float):
                 mine = np.flatnonzero(names == g)
                 if not len(mine):
                     continue
-                r, c = cells.visits(unit[mine], reach[mine], visit)
-                n = cells.blocks[c]
-                r, to = np.repeat(r, n), offset + np.repeat(cells.first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                away = to != home[mine[r]]
-                block.append(to[away])
-                source.append(mine[r[away]])
+                r, to = _blocks(cells, *cells.visits(unit[mine], reach[mine], visit))
+                block.append(offset + to)
+                source.append(mine[r])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ones(len(home), bool)), *(batch.column(c) for c in range(1, 8))], _VISIT)
             s = np.concatenate(source)
             for at in range(0, len(s), 10_000):
