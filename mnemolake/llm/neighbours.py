@@ -287,7 +287,8 @@ def nearest_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     # The rows of a block come first, then its visitors pass by in batches, however many they are.
     streams = visiting.repartition(parts, "block").sortWithinPartitions("block", F.col("own").desc())
     found = map_batches(streams, _visit_searcher(dim, sent, k, stop), schema)
-    best = found.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("best"))
+    # A visitor may meet again what its own cell held of the visited one.
+    best = found.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("best"))
     # Adaptive execution splits the rows of a vector that very many of them share.
     each = rows.select("id", "h1", "h2").join(best, ["h1", "h2"])
     ranked = each.select("id", F.posexplode(F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)).alias("at", "b"))
