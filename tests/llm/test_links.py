@@ -159,6 +159,23 @@ def test_neighbour_recall(spark, cell_rows):
     want = exact(ids, x.astype(np.float64), 5)
     recall = np.mean([len(set(want[i]) & set(got.get(i, []))) / 5 for i in want])
     assert recall >= 0.95
+    assert all(len(set(v)) == 5 for v in got.values())  # what two cells hold is met once
+
+
+def test_cells_per_vector_stay_few():
+    """Sixteen times as many cells do not make a vector be held or searched in many more."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((2000, 64)), 8, 0) + 0.3 * rng.standard_normal((16_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    reach = np.full(len(x), 0.45, np.float32)
+    for cells in (8, 128):
+        c = neighbours.Cells(x, len(x), len(x) // cells)
+        assert len(c.centres) == cells and c.blocks.sum() <= 2 * cells
+        held, visited = c.holders(x), c.visits(x, reach, neighbours.VISIT_DEVIATIONS)
+        assert set(zip(np.arange(len(x)).tolist(), c.own(x).tolist())) <= set(zip(held[0].tolist(), held[1].tolist()))
+        assert len(held[0]) <= 4 * len(x) and len(visited[0]) <= 3 * len(x)
+    one = neighbours.Cells(x[:10], 10, 100)
+    assert len(one.centres) == 1 and not len(one.visits(x[:10], reach[:10] * 9, 9.0)[0]) and len(one.holders(x[:10])[0]) == 10
 
 
 def test_neighbours_of_mixed_density(spark):
