@@ -56,7 +56,7 @@ def test_versions_equal_sequential_rule(spark, hot_rows):
 def test_fact_edges(spark):
     log = spark.createDataFrame([(1, None, "v", "auto", at(0), "remember"), (2, "k", None, "rule", at(1), "remember"), (3, "k", "v", "explicit", None, "remember"), (4, "k", "v" * 100_000, "explicit", at(2), "remember"), (5, "missing", None, "explicit", at(3), "forget")], FACTS)
     assert [r["id"] for r in facts.fact_versions(log).collect()] == [4]
-    assert [r["reason"] for r in facts.quarantined(log).collect()] == ["no key or no value"] * 2
+    assert [r["reason"] for r in facts.quarantined(log).collect()] == ["key or value is empty"] * 2
     empty = spark.createDataFrame([], FACTS)
     assert facts.fact_versions(empty).count() == 0 and facts.outcomes(empty).count() == 0
 
