@@ -29,7 +29,7 @@ def upsert_nodes(mentions: DataFrame) -> DataFrame:
     """Nodes of a log of (mention_id, type, name, confidence, mentions, ts), one per type and canonical name.
 
     id is the first mention's; confidence is the mean weighted by `mentions`
-    (null counts as 0.5), which equals the running average of any order; aliases are the spellings that
+    (null counts as 0.5), which equals the running average of any order, and null where the mentions sum to 0; aliases are the spellings that
     differ from the canonical name, latest first (of one mention by spelling), at most 8. Unknown types
     become `entity`; blank names are skipped.
     """
@@ -44,7 +44,7 @@ def upsert_nodes(mentions: DataFrame) -> DataFrame:
     spelled = spelled.withColumn("alias", F.col("raw") != F.col("canonical_name")).withColumn("r", F.row_number().over(newest))
     kept = F.when(F.col("alias") & (F.col("r") <= MAX_ALIASES), F.struct("r", "raw"))
     return spelled.groupBy("type", "canonical_name").agg(
-        F.min("first").alias("id"), F.min("created").alias("created_at"), F.max("updated").alias("updated_at"), F.sum("n").alias("mention_count"), (F.sum("weighted") / F.sum("n")).alias("confidence"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["raw"]).alias("aliases")
+        F.min("first").alias("id"), F.min("created").alias("created_at"), F.max("updated").alias("updated_at"), F.sum("n").alias("mention_count"), F.try_divide(F.sum("weighted"), F.sum("n")).alias("confidence"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["raw"]).alias("aliases")
     )
 
 

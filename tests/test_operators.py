@@ -4,12 +4,14 @@ import datetime as dt
 import random
 
 import pytest
+from compare import connection, duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 from mnemolake.config import Settings, Tier, budgets_for, profile_for
 from mnemolake.operators import assembly, extraction, facts, governor, graph, lessons, ordered, sessions
 from mnemolake.operators.components import connected_components
 from mnemolake.operators.consolidate import consolidate, label_clusters
+from mnemolake.plans.queries import oracle_sql, queries
 
 T0 = dt.datetime(2024, 1, 1)
 FACTS = "id bigint, key string, value string, source string, ts timestamp_ntz, op string"
@@ -144,6 +146,17 @@ def test_upserts(spark):
     assert len(rows) == 1 and rows[0]["seen_count"] == 2 and round(rows[0]["confidence"], 9) == 0.6 and rows[0]["last_seen"] == at(5) and rows[0]["source_chunk_id"] is None
 
 
+def test_upsert_of_nodes_without_mentions(spark, tmp_path):
+    log = spark.createDataFrame([(1, "person", "ann", 0.9, 0, at(0)), (2, "person", "bob", 0.9, 0, at(1)), (3, "person", "bob", 0.4, 2, at(2))], "mention_id bigint, type string, name string, confidence double, mentions bigint, ts timestamp_ntz")
+    got = {r["canonical_name"]: (r["mention_count"], r["confidence"]) for r in graph.upsert_nodes(log).collect()}
+    assert got == {"ann": (0, None), "bob": (2, 0.4)}
+    # The query shows the mean of no mentions as its SQL does.
+    rows = [(1, "person", "ann", None, at(0), at(1), 0.9, 0), (2, "person", "bob", ["Bob"], at(0), at(1), 0.9, 0)]
+    spark.createDataFrame(rows, "id bigint, type string, canonical_name string, aliases array<string>, created_at timestamp_ntz, updated_at timestamp_ntz, confidence double, mention_count bigint").write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    mine = spark_rows(queries()["graph_nodes_upsert"](spark, str(tmp_path)))
+    assert mine == duck_rows(connection(str(tmp_path)), oracle_sql()["graph_nodes_upsert"]) and "'nan'" in mine[1][0]
+
+
 def test_governor(spark):
     for total, free, tier in ((32, 20, 2), (16, 8, 2), (8, 4, 1), (16, 3, 1), (4, 2, 0), (8, 1, 0)):
         assert governor.classify_value(total, free) == tier
